@@ -72,3 +72,9 @@ def staged(df: DataFrame, compact: bool = True) -> DataFrame:
     writer.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores; an input that already has that many partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
