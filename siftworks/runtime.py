@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,23 @@ def local_session(cpus: int | str = "*", name: str = "siftworks", **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that it need not be installed on them."""
+    context = spark.sparkContext
+    if getattr(context, "_siftworks_sent", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="siftworks-code-"), "siftworks.zip")
+    with zipfile.ZipFile(target, "w") as package:
+        for folder, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(target)
+    context._siftworks_sent = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -65,6 +83,7 @@ def staged(df: DataFrame, compact: bool = True) -> DataFrame:
     gives the optimizer the true size for its choice of joins. The files are removed when the process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/siftworks-{uuid.uuid4().hex}"
     writer = df.write
     if compact:
@@ -76,5 +95,6 @@ def staged(df: DataFrame, compact: bool = True) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input over all cores; an input that already has that many partitions stays as it is."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
