@@ -28,6 +28,8 @@ BEHIND, FAR_BEHIND = 0.2, 0.05
 #: Words of non-sentence shapes on a stuffed page, as a share of its own words. More than half is asked for; ordinary
 #: articles made up of short lists and headings reach 0.54, the keywords of stuffed pages start at 0.69.
 STUFFED = 0.6
+#: Shorter bodies are too short to tell.
+LEAST_WORDS = 30
 
 TAG = re.compile(r"<[^<>]*>")
 ANCHOR = re.compile(r"<a\b[^<>]*>.*?</a>", re.IGNORECASE)
@@ -39,6 +41,13 @@ CLOSED = re.compile(r"[.!?。！？…][\"'”’»)]*$")
 LINK = re.compile(r"https?://|www\.|\]\(", re.IGNORECASE)
 SEPARATORS = re.compile(r"[|;,•»·#/<>]")
 TRAIL = re.compile(r"^[^.!?]{0,40}?\s[»>/›|·]\s[^.!?]*$")
+DATE = re.compile(r"\b(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})\b")
+# Labels of advertisements and of links within the page.
+LABEL = re.compile(
+    r"^(sponsored by\b.{0,40}|advertisement|anzeige|werbung|publicité|publicidad|skip to content|zum inhalt springen|aller au contenu"
+    r"|ir al contenido|back to top|nach oben|haut de page|volver arriba)$",
+    re.IGNORECASE,
+)
 SUFFIX = re.compile(r"\s+[-|–—]\s+[^-|–—]*$")
 
 
@@ -91,6 +100,12 @@ def shape(sentence: str, words: list[str], closed: bool) -> int:
     return (((size * 4 + capitals) * 4 + separators) * 2 + bool(LINK.search(sentence))) * 2 + closed
 
 
+def _leads(form: str) -> list[int]:
+    """Keys of the first words of a line, one to nine: markup often has a whole block, with its title, in one line."""
+    words = form.split(" ", 9)[:9]
+    return [key_of(" ".join(words[:k])) for k in range(1, len(words) + 1)] if form.count(" ") >= 3 else []
+
+
 def _sentences(lines: list[str]) -> list[list[tuple[int, int, bool]]]:
     """Per line [(shape, words, whether a sentence)]. A closed string made up of the page's repeated pairs of words is
     no sentence; a pair is repeated if it occurs six times and makes up a fortieth of the page."""
@@ -113,7 +128,7 @@ def _sentences(lines: list[str]) -> list[list[tuple[int, int, bool]]]:
         judged = []
         for k, (s, words, low) in enumerate(row):
             closed = k + 1 < len(row) or bool(CLOSED.search(s))
-            stuffed = bool(often) and len(low) > 2 and sum(p in often for p in zip(low, low[1:])) >= 0.4 * (len(low) - 1)
+            stuffed = bool(often) and len(low) > 2 and sum(p in often for p in zip(low, low[1:])) >= 0.3 * (len(low) - 1)
             judged.append((shape(s, words, closed), len(words), closed and not stuffed))
         out.append(judged)
     return out
@@ -121,7 +136,7 @@ def _sentences(lines: list[str]) -> list[list[tuple[int, int, bool]]]:
 
 def _token_rows(batches):
     """One row per document: its lines as tokens, with what the later steps need of each line."""
-    columns = ["kind", "doc", "host", "head", "line", "token", "after", "use", "shapes", "words", "said"]
+    columns = ["kind", "doc", "host", "head", "line", "token", "after", "use", "leads", "shapes", "words", "said"]
     for batch in batches:
         rows = []
         for kind, doc, host, content, *named in zip(*(batch[c] for c in ("kind", "doc", "host", "content", "h1", "og", "title"))):
@@ -134,7 +149,7 @@ def _token_rows(batches):
             forms += [SUFFIX.sub("", x) for x in forms]
             forms = [x for x in (x.rstrip("…. ") for x in forms) if len(x) > 5]
             name = "".join(WORD.findall((host or "").split(".")[0].lower()))
-            tokens, use, lengths = [], [], []
+            tokens, use, lengths, leads = [], [], [], []
             for _, text, first, linked in lines:
                 form = line_form(first)
                 head = any(form == x or (len(x) > 15 and form.startswith(x)) for x in forms)
@@ -143,7 +158,9 @@ def _token_rows(batches):
                 prose = bool(MANY_SENTENCES.search(text))
                 lengths.append(len(text) if prose else 0)
                 tokens.append(key_of(form))
-                use.append(head + 2 * linked + 4 * own + 8 * prose + 16 * bool(TRAIL.match(text)))
+                dated = len(text) < 120 and not prose and bool(DATE.search(text)) and not CLOSED.search(text)
+                use.append(head + 2 * linked + 4 * own + 8 * prose + 16 * bool(TRAIL.match(text)) + 32 * (dated or bool(LABEL.match(text))))
+                leads.append(_leads(form) if markup and not head else [])
             whole = sum(lengths)
             after = (100 * (1 - np.cumsum(lengths) / whole)).round().astype(np.int32) if whole else np.full(len(lines), -1, np.int32)
             judged = _sentences([x[1] for x in lines])
@@ -157,6 +174,7 @@ def _token_rows(batches):
                     tokens,
                     after.tolist(),
                     use,
+                    leads,
                     [[s for s, _, good in row if not good] for row in judged],
                     [[n for _, n, good in row if not good] for row in judged],
                     [sum(n for _, n, good in row if good) for row in judged],
@@ -165,7 +183,7 @@ def _token_rows(batches):
         yield pd.DataFrame(rows, columns=columns)
 
 
-TOKENS = "kind string, doc string, host string, head long, line array<int>, token array<long>, after array<int>, use array<int>, shapes array<array<int>>, words array<array<int>>, said array<int>"
+TOKENS = "kind string, doc string, host string, head long, line array<int>, token array<long>, after array<int>, use array<int>, leads array<array<long>>, shapes array<array<int>>, words array<array<int>>, said array<int>"
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
@@ -229,7 +247,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     return members.groupBy("host").agg(F.collect_list("token").alias("names"), F.collect_list("place").alias("places"))
 
 
-def body_of(token, after, use, names: dict[int, float]) -> list[int]:
+def body_of(token, after, use, leads, names: dict[int, float]) -> list[int]:
     """Indices of the body lines of one document, the headline first."""
     n = len(token)
     start = next((i for i in range(n) if use[i] & 1 and not use[i] & 2), None)
@@ -240,38 +258,43 @@ def body_of(token, after, use, names: dict[int, float]) -> list[int]:
     for i in range(start + 1, n):
         if fixed[i]:
             place = names[token[i]]
-            if place <= FAR_BEHIND or (place <= BEHIND and after[i] <= 0):
-                end = i
-                break
-    return [i for i in range(start, end) if i == start or not (fixed[i] or use[i] & (2 | 4))]
+        else:
+            place = min((names[x] for x in leads[i] if x in names), default=1.0)
+        if place <= FAR_BEHIND or (place <= BEHIND and after[i] <= 0):
+            end = i
+            break
+    return [i for i in range(start, end) if i == start or not (fixed[i] or use[i] & (2 | 4 | 32))]
 
 
 def stuffing(shapes, words, said, body: list[int]) -> float:
     """Share of the body's words, its headline left aside, that stand in its few commonest non-sentence shapes."""
     by_shape: Counter[int] = Counter()
-    good = 0
+    good = stuffed = 0
     for i in body[1:]:
         good += said[i]
         for s, n in zip(shapes[i], words[i]):
-            by_shape[s] += n
-    other = sum(by_shape.values())
+            if s & 1:
+                stuffed += n  # closed like a sentence, made up of repeated keywords
+            else:
+                by_shape[s] += n
+    total = good + stuffed + sum(by_shape.values())
     few = sum(n for _, n in by_shape.most_common(max(3, len(by_shape) // 2)))
-    return few / (good + other) if good + other else 0.0
+    return (few + stuffed) / total if total >= LEAST_WORDS else 0.0
 
 
 def _bodies(batches):
     for batch in batches:
         rows = []
         last_host, names = None, {}
-        for kind, doc, host, line, token, after, use, shapes, words, said, known, places in zip(*(batch[c] for c in BODY_INPUT)):
+        for kind, doc, host, line, token, after, use, leads, shapes, words, said, known, places in zip(*(batch[c] for c in BODY_INPUT)):
             if host != last_host or known is None:
                 names, last_host = dict(zip(known.tolist(), places.tolist())) if known is not None else {}, host
-            body = body_of(token.tolist(), after, use, names)
+            body = body_of(token.tolist(), after, use, leads, names)
             rows.append((kind, doc, [int(line[i]) for i in body], stuffing(shapes, words, said, body)))
         yield pd.DataFrame(rows, columns=["kind", "doc", "body", "stuffing"])
 
 
-BODY_INPUT = ["kind", "doc", "host", "line", "token", "after", "use", "shapes", "words", "said", "names", "places"]
+BODY_INPUT = ["kind", "doc", "host", "line", "token", "after", "use", "leads", "shapes", "words", "said", "names", "places"]
 
 
 def bodies(documents: DataFrame) -> DataFrame:
