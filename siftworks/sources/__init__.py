@@ -1 +1 @@
-
+"""Readers of url lists and sitemaps."""
