@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, text_or_empty
+from .text import bound, contains_any, text_or_empty
 
 # Parts of a url per content type, the first that matches wins; then the default.
 URL_TYPES = {
@@ -72,19 +74,41 @@ def page_type(url: Column, schema: Column, text: Column, is_root: Column) -> Col
     return _first([*cases, (is_root, "landing_page")], F.lit("unknown"))
 
 
+def _found(low: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a text in lower case. Plain alternatives are searched as such; the others only
+    where the plain text they begin with occurs."""
+    out = F.lit(False)
+    for part in re.split(r"\|(?![^(]*\))", pattern):
+        plain = re.match(r"[\w<>/` :-]*", part)[0]
+        if plain == part:
+            one = F.contains(low, F.lit(part))
+        else:
+            # a quantifier after the plain text would make its last character optional
+            start = plain[:-1] if part[len(plain)] in "*?{" else plain
+            one = F.rlike(low, F.lit(part))
+            one = F.contains(low, F.lit(start)) & one if start else one
+        out = out | one
+    return out
+
+
 def classify(url: Column, text: Column, schema_types: Column) -> Column:
     """struct(type, confidence): 30 points for url patterns, 40 for text patterns, 30 for schema types."""
     scores = {}
+    low, low_url = F.lower(text), F.lower(url)
     for name, (urls, texts, schemas) in PATTERNS.items():
-        points = [F.rlike(url, F.lit("(?iu)" + p)).cast("int") * (30 / len(urls)) for p in urls]
-        points += [F.rlike(text, F.lit("(?iu)" + p)).cast("int") * (40 / len(texts)) for p in texts]
+        points = [_found(low_url, p).cast("int") * (30 / len(urls)) for p in urls]
+        points += [_found(low, p).cast("int") * (40 / len(texts)) for p in texts]
         points += [F.contains(schema_types, F.lit(p)).cast("int") * (30 / len(schemas)) for p in schemas]
         scores[name] = F.round(sum(points, F.lit(0.0)), 6)
-    values = F.array(*scores.values())
-    best = F.array_max(values)
-    name = F.element_at(F.array(*[F.lit(x) for x in scores]), F.array_position(values, best).cast("int"))
-    confidence = F.least(best / 100, F.lit(1.0))
-    return F.struct(F.when(confidence < 0.1, F.lit("unknown")).otherwise(name).alias("type"), F.when(confidence < 0.1, F.lit(0.0)).otherwise(confidence).alias("confidence"))
+    names = F.array(*[F.lit(x) for x in scores])
+
+    def pick(values: Column) -> Column:
+        best = F.array_max(values)
+        confidence = F.least(best / 100, F.lit(1.0))
+        name = F.element_at(names, F.array_position(values, best).cast("int"))
+        return F.struct(F.when(confidence < 0.1, F.lit("unknown")).otherwise(name).alias("type"), F.when(confidence < 0.1, F.lit(0.0)).otherwise(confidence).alias("confidence"))
+
+    return bound(F.array(*scores.values()), pick)
 
 
 def _per_type(kind: Column, pick) -> Column:
@@ -129,7 +153,7 @@ def quality(kind: Column, content: Column, url: Column, title: Column, og_title:
     points = F.lit(100) - sum((s.cast("int") * 15 for s in spam), F.lit(0))
     points = F.when(contains_any(u, GOOD_HOSTS), F.least(F.lit(100), points + 15)).otherwise(points)
     f_url = F.greatest(F.lit(0.2), points / 100)
-    share = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / 100)), F.lit(0.5))
+    share = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / 100))).otherwise(F.lit(0.5))
     factors = [f_length, f_title, f_meta, f_url, share(analysis), share(value)]
     total = sum((f * _per_type(kind, lambda r, i=i: r[2][i]) for i, f in enumerate(factors)), F.lit(0.0))
     score = F.floor(F.round(total * 100, 6) + 0.5) / 100

@@ -91,7 +91,7 @@ def content_depth(content: Column, h1: Column) -> Column:
 
 
 def engagement(clicks: Column, pagerank: Column) -> Column:
-    share = lambda c, most: F.coalesce(F.when(~F.isnan(c), F.least(c / most, F.lit(1.0))), F.lit(0.0))
+    share = lambda c, most: F.coalesce(F.when(c.isNotNull() & ~F.isnan(c), F.least(c / most, F.lit(1.0))), F.lit(0.0))
     return share(clicks, 100.0) * 0.3 + share(pagerank, 10.0) * 0.7
 
 

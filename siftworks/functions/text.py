@@ -16,6 +16,11 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_any(text: Column, parts: list[str]) -> Column:
     return any_of([F.contains(text, F.lit(p)) for p in parts])
 

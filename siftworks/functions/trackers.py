@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Risk and patterns per tracker, in order of the search.
 TRACKERS = {
     "google_analytics": (2, [r"google-analytics", r"ga\(", r"gtag\(", r"_gid", r"_ga"]),
@@ -58,7 +60,10 @@ def trackers(html: Column) -> Column:
 
 def tracker_report(html: Column) -> Column:
     """struct(trackers, count, average, safety, profile); safety is 1 for clean."""
-    found = trackers(html)
+    return bound(trackers(html), _report)
+
+
+def _report(found: Column) -> Column:
     n = F.size(found)
     average = F.when(n > 0, F.aggregate(found, F.lit(0.0), lambda a, x: a + x["risk"]) / n).otherwise(F.lit(1.0))
     profile = F.lit("clean")

@@ -25,7 +25,7 @@ def content(spark, folder) -> DataFrame:
     pages = table(spark, folder, "pages").dropDuplicates(["id"])
     return pages.select(
         "id", "url", domain(F.col("url")).alias("domain"), "title", "h1", "content", F.col("og_description").alias("description"), "og_title", "og_image_url", "jsonld",
-        url_type(F.col("url")).alias("content_type"), F.least(F.lit(1.0), F.length("content") / 3000).alias("quality_score"), "pagerank_score", "click_score", "tracker_risk_score", "last_crawled_at", "site_id",
+        url_type(F.col("url")).alias("content_type"), F.when(F.col("content").isNotNull(), F.least(F.lit(1.0), F.length("content") / 3000)).alias("quality_score"), "pagerank_score", "click_score", "tracker_risk_score", "last_crawled_at", "site_id",
     )
 
 
@@ -77,7 +77,7 @@ def sql_per_type(kind: str, pick) -> str:
 
 
 CONTENT = f"""content AS (SELECT id, url, {sql_domain("url")} AS domain, title, h1, content, og_description AS description, og_title, og_image_url, jsonld,
-  {sql_url_type("url")} AS content_type, least(1.0::DOUBLE, length(content) / 3000) AS quality_score, pagerank_score, click_score, tracker_risk_score, last_crawled_at, site_id
+  {sql_url_type("url")} AS content_type, CASE WHEN content IS NOT NULL THEN least(1.0::DOUBLE, length(content) / 3000) END AS quality_score, pagerank_score, click_score, tracker_risk_score, last_crawled_at, site_id
   FROM (SELECT DISTINCT * FROM pages))"""
 JOBS = r"""jobs AS (SELECT * EXCLUDE (place, domain, status), status, regexp_replace(lower(domain), '^www\.', '') AS domain FROM (SELECT * EXCLUDE (status), lower(trim(status)) AS status,
   row_number() OVER (PARTITION BY job_id ORDER BY completed_at DESC NULLS LAST, started_at DESC NULLS LAST, lower(trim(status)) ASC NULLS LAST, title ASC NULLS LAST, word_count ASC NULLS LAST) AS place FROM crawl_jobs) WHERE place = 1)"""
