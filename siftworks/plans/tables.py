@@ -11,7 +11,7 @@ from ..functions.text import domain
 from ..operators.search import latest
 from ..runtime import table
 
-AS_OF = "2025-01-01 00:00:00"
+AS_OF = "2022-01-31 00:00:00"
 NOW = f"TIMESTAMPTZ '{AS_OF}+00'"
 QUERY = "museum"
 
