@@ -48,8 +48,8 @@ def entries(sitemaps: DataFrame, source: str = "url", xml: str = "xml") -> DataF
 
 def locations(sitemaps: DataFrame, source: str = "url", xml: str = "xml") -> DataFrame:
     """(source, loc) by pattern, for sitemaps that are no well-formed XML."""
-    found = F.explode(F.regexp_extract_all(xml, F.lit(r"<loc[^>]*>([^<]+)</loc>"), F.lit(1)))
-    return sitemaps.select(F.col(source).alias("source"), F.trim(found).alias("loc")).where(F.rlike("loc", F.lit("^https?://")))
+    found = F.explode(F.regexp_extract_all(xml, F.lit(r"<loc[^>]*>([^<]+)</loc>"), F.lit(1))).alias("loc")
+    return sitemaps.select(F.col(source).alias("source"), found).withColumn("loc", F.trim("loc")).where(F.rlike("loc", F.lit("^https?://")))
 
 
 def expanded(roots: DataFrame, fetched: DataFrame, rounds: int = 3) -> DataFrame:
