@@ -35,7 +35,7 @@ def sessionize(
     e = (
         events.select(F.col(session_col).alias("s"), F.col(id_col).alias("id"), t.alias("t"))
         .where(F.col("s").isNotNull() & F.col("t").isNotNull())
-        .withColumn("b", F.floor(F.col("t") / F.lit(width)).cast("long"))
+        .withColumn("b", F.col("t") - F.pmod(F.col("t"), F.lit(width)))
         .repartition("s", "b")
         .dropDuplicates(["s", "b", "t", "id"])  # served by the same partitioning
     )
@@ -55,7 +55,7 @@ def sessionize(
     runs = staged(runs)
 
     # a run is named by its start, which is unique within a session
-    tails = runs.where("open").select("s", (F.col("b") + 1).alias("b"), F.col("first.t").alias("to"), F.col("last.t").alias("end"))
+    tails = runs.where("open").select("s", (F.col("b") + width).alias("b"), F.col("first.t").alias("to"), F.col("last.t").alias("end"))
     links = staged(
         runs.where("run = 1")
         .join(tails, ["s", "b"])
