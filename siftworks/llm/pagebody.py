@@ -21,9 +21,12 @@ from ..runtime import spread, staged
 
 #: A token belongs to the template if it occurs under at least this many headlines of the host, and this share of them.
 HEADLINES, SHARE = 3, 0.004
-#: ... or is such a token, with the second share, on at least so many hosts, and occurs under two headlines.
+#: ... or is a token of at least so many hosts with the second share, at its usual place there.
 HOSTS, FIRM_SHARE = 3, 0.03
-#: A class lies behind the text if on average at most this share of the prose follows it.
+#: Prose is a line with several sentences of more than so many characters, as short notices have several, too; on a page
+#: without such lines the second length will do.
+PROSE, SHORT_PROSE = 120, 40
+#: A token lies behind the text if on average at most this share of the prose follows it.
 BEHIND, FAR_BEHIND = 0.2, 0.05
 #: Words of non-sentence shapes on a stuffed page, as a share of its own words. More than half is asked for; ordinary
 #: articles made up of short lists and headings reach 0.54, the keywords of stuffed pages start at 0.69.
@@ -34,7 +37,7 @@ LEAST_WORDS = 30
 TAG = re.compile(r"<[^<>]*>")
 ANCHOR = re.compile(r"<a\b[^<>]*>.*?</a>", re.IGNORECASE)
 HEADLINE = re.compile(r"<h1\b[^<>]*>(.*?)</h1>", re.IGNORECASE)
-SPACE, DIGITS, WORD = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[^\W_]+")
+DIGITS, WORD = re.compile(r"\d+"), re.compile(r"[^\W_]+")
 MANY_SENTENCES = re.compile(r"[^\W\d_][.!][\"”»)]*\s+\S")
 SENTENCE_END = re.compile(r"(?<=[^\W\d_][.!?])[\"”»)]*\s+|(?<=[。！？])")
 CLOSED = re.compile(r"[.!?。！？…][\"'”’»)]*$")
@@ -52,7 +55,7 @@ SUFFIX = re.compile(r"\s+[-|–—]\s+[^-|–—]*$")
 
 
 def line_form(line: str) -> str:
-    return DIGITS.sub("0", SPACE.sub(" ", line.strip()).lower())
+    return DIGITS.sub("0", " ".join(line.split()).lower())
 
 
 def key_of(form: str) -> int:
@@ -106,32 +109,39 @@ def _leads(form: str) -> list[int]:
     return [key_of(" ".join(words[:k])) for k in range(1, len(words) + 1)] if form.count(" ") >= 3 else []
 
 
-def _sentences(lines: list[str]) -> list[list[tuple[int, int, bool]]]:
-    """Per line [(shape, words, whether a sentence)]. A closed string made up of the page's repeated pairs of words is
-    no sentence; a pair is repeated if it occurs six times and makes up a fortieth of the page."""
-    parts = []
-    pairs: Counter[tuple[str, str]] = Counter()
-    total = 0
+def _sentences(lines: list[str]) -> tuple[list[list[int]], list[list[int]], list[int]]:
+    """Per line the shapes and the words of its parts that are no sentences, and the words of its sentences.
+
+    A closed string made up of the page's repeated pairs of words is no sentence; a pair is repeated if it occurs six
+    times and makes up a fortieth of the page. Without such pairs only the open end of a line is looked at.
+    """
+    low = WORD.findall("\n".join(lines).lower())
+    least = max(6, 0.025 * len(low))
+    often = {p for p, n in Counter(zip(low, low[1:])).items() if n >= least}
+    shapes, counts, said = [], [], []
     for line in lines:
-        row = []
-        for s in SENTENCE_END.split(line):
-            words = WORD.findall(s)
-            if words:
-                low = [w.lower() for w in words]
-                pairs.update(zip(low, low[1:]))
-                total += len(words)
-                row.append((s, words, low))
-        parts.append(row)
-    often = {p for p, n in pairs.items() if n >= max(6, 0.025 * total)}
-    out = []
-    for row in parts:
-        judged = []
-        for k, (s, words, low) in enumerate(row):
-            closed = k + 1 < len(row) or bool(CLOSED.search(s))
-            stuffed = bool(often) and len(low) > 2 and sum(p in often for p in zip(low, low[1:])) >= 0.3 * (len(low) - 1)
-            judged.append((shape(s, words, closed), len(words), closed and not stuffed))
-        out.append(judged)
-    return out
+        s, c, good = [], [], 0
+        closed = bool(CLOSED.search(line[-8:]))
+        if closed and not often:
+            good = len(WORD.findall(line))
+        else:
+            parts = [p for p in SENTENCE_END.split(line) if p]
+            for k, part in enumerate(parts):
+                ended = closed or k + 1 < len(parts)
+                words = WORD.findall(part)
+                stuffed = False
+                if often and ended and len(words) > 2:
+                    pairs = [w.lower() for w in words]
+                    stuffed = sum(p in often for p in zip(pairs, pairs[1:])) >= 0.3 * (len(words) - 1)
+                if ended and not stuffed:
+                    good += len(words)
+                elif words:
+                    s.append(shape(part, words, ended))
+                    c.append(len(words))
+        shapes.append(s)
+        counts.append(c)
+        said.append(good)
+    return shapes, counts, said
 
 
 def _token_rows(batches):
@@ -152,18 +162,25 @@ def _token_rows(batches):
             tokens, use, lengths, leads = [], [], [], []
             for _, text, first, linked in lines:
                 form = line_form(first)
-                head = any(form == x or (len(x) > 15 and form.startswith(x)) for x in forms)
-                squeezed = "".join(WORD.findall(text.lower())) if len(name) > 5 and len(text) < 300 else ""
-                own = len(name) > 5 and name in squeezed
-                prose = bool(MANY_SENTENCES.search(text))
-                lengths.append(len(text) if prose else 0)
+                size = len(text)
+                head = size < 400 and any(form == x or (len(x) > 15 and form.startswith(x)) for x in forms)
+                own = dated = trail = False
+                if size < 300:
+                    own = len(name) > 5 and (name[:6] in form or name[:6] in text.lower()) and name in "".join(WORD.findall(text.lower()))
+                prose = size > SHORT_PROSE and bool(MANY_SENTENCES.search(text))
+                if size < 120 and not prose:
+                    dated = bool(DATE.search(text)) and not CLOSED.search(text)
+                    trail = bool(TRAIL.match(text))
+                    dated = dated or (size < 60 and bool(LABEL.match(text)))
+                lengths.append(size if prose else 0)
                 tokens.append(key_of(form))
-                dated = len(text) < 120 and not prose and bool(DATE.search(text)) and not CLOSED.search(text)
-                use.append(head + 2 * linked + 4 * own + 8 * prose + 16 * bool(TRAIL.match(text)) + 32 * (dated or bool(LABEL.match(text))))
+                use.append(head + 2 * linked + 4 * own + 8 * prose + 16 * trail + 32 * dated)
                 leads.append(_leads(form) if markup and not head else [])
+            if max(lengths) > PROSE:
+                lengths = [n if n > PROSE else 0 for n in lengths]
             whole = sum(lengths)
             after = (100 * (1 - np.cumsum(lengths) / whole)).round().astype(np.int32) if whole else np.full(len(lines), -1, np.int32)
-            judged = _sentences([x[1] for x in lines])
+            shapes, counts, said = _sentences([x[1] for x in lines])
             rows.append(
                 (
                     kind,
@@ -175,9 +192,9 @@ def _token_rows(batches):
                     after.tolist(),
                     use,
                     leads,
-                    [[s for s, _, good in row if not good] for row in judged],
-                    [[n for _, n, good in row if not good] for row in judged],
-                    [sum(n for _, n, good in row if good) for row in judged],
+                    shapes,
+                    counts,
+                    said,
                 )
             )
         yield pd.DataFrame(rows, columns=columns)
@@ -217,12 +234,12 @@ def host_of(name: Column) -> Column:
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """(host, names, behind): the tokens of each host's template, with the place of their class.
+    """(host, names, places): the tokens of each host's template with their places.
 
     Documents with one headline (copies, republished articles, a page and its job) count once for a token. Tokens of a
-    host with the same occurrence vector, compared by its count and a hash of its documents, form a class. The place of
-    a class is the share of the prose that follows its tokens: 1 before the text, 0 behind it. A host's template has at
-    most 250 times as many tokens as its documents have lines.
+    host with the same occurrence vector, compared by its count and a hash of its documents, form a class; its tokens are
+    nested by their place, the share of the prose that follows them: 1 before the text, 0 behind it. A host's template
+    has at most 250 times as many tokens as its documents have lines.
     """
     first = tokens.groupBy("kind", "host", "head").agg(F.min("doc").alias("doc"))
     apart = first.where("head <> 0").select("kind", "host", "doc").unionByName(tokens.where("head = 0").select("kind", "host", "doc").distinct())
@@ -237,14 +254,15 @@ def templates(tokens: DataFrame) -> DataFrame:
         .join(hosts, "host")
     )
     counted = staged(counted)
-    firm = counted.where(F.col("n") >= FIRM_SHARE * F.col("documents")).groupBy("token").agg(F.count(F.lit(1)).alias("on_hosts"))
-    firm = firm.where(F.col("on_hosts") >= HOSTS)
-    kept = counted.join(firm, "token", "left").where(
-        ((F.col("n") >= HEADLINES) & (F.col("n") >= SHARE * F.col("documents"))) | F.col("on_hosts").isNotNull()
-    )
-    classes = kept.groupBy("host", "n", "vector").agg(F.avg("after").alias("place"), F.collect_list("token").alias("members"))
-    members = classes.select("host", F.coalesce(F.col("place") / 100, F.lit(1.0)).alias("place"), F.explode("members").alias("token"))
-    return members.groupBy("host").agg(F.collect_list("token").alias("names"), F.collect_list("place").alias("places"))
+    firm = counted.where(F.col("n") >= FIRM_SHARE * F.col("documents")).groupBy("token").agg(F.count(F.lit(1)).alias("on_hosts"), F.avg("after").alias("usual"))
+    firm = staged(firm.where(F.col("on_hosts") >= HOSTS).select("token", "usual"))
+    shared = each.select("host", F.col("x.token").alias("token")).join(firm, "token").distinct()
+    own = counted.where((F.col("n") >= HEADLINES) & (F.col("n") >= SHARE * F.col("documents"))).select("host", "token", "n", "vector", "after")
+    kept = own.join(shared, ["host", "token"], "full").withColumn("after", F.coalesce("after", "usual"))
+    # the members of a class keep their order in the page: a class that holds menu and footer nests around the text
+    classes = kept.groupBy("host", "n", "vector").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("after", F.lit(100.0))).alias("before"), "token"))).alias("members"))
+    nested = classes.select("host", F.explode("members").alias("m"))
+    return nested.groupBy("host").agg(F.collect_list("m.token").alias("names"), F.collect_list(-F.col("m.before") / 100).alias("places"))
 
 
 def body_of(token, after, use, leads, names: dict[int, float]) -> list[int]:
@@ -260,7 +278,9 @@ def body_of(token, after, use, leads, names: dict[int, float]) -> list[int]:
             place = names[token[i]]
         else:
             place = min((names[x] for x in leads[i] if x in names), default=1.0)
-        if place <= FAR_BEHIND or (place <= BEHIND and after[i] <= 0):
+        # an advertisement before a short last paragraph looks as if behind the text, too
+        prose_next = fixed[i] and i + 1 < n and use[i + 1] & 8 and not use[i + 1] & (2 | 4) and token[i + 1] not in names
+        if not prose_next and (place <= FAR_BEHIND or (place <= BEHIND and after[i] <= 0)):
             end = i
             break
     return [i for i in range(start, end) if i == start or not (fixed[i] or use[i] & (2 | 4 | 32))]
