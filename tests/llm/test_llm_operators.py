@@ -330,7 +330,16 @@ def test_stuffed_pages(spark):
     noun = ["saddle", "shelf", "kettle", "museum"]
     key = lambda: " ".join(rng.choice(["cheap", "best", "buy", "sale"]) + " vohund " + rng.choice(noun) for _ in range(20))
     stuffed = [(100, key() + "\n" + key()), (101, " | ".join(f"{rng.choice(noun)} sale" for _ in range(60))), (102, " ".join("Our vohund saddle best: vohund saddle sale vohund saddle." for _ in range(12)))]
-    fine = [(103, "\n".join(f"Term{'abcdefgh'[k]}: a definition that says what the term means to all of us." for k in range(8)))]
+    glossary = [
+        "Kettle: a vessel in which water is brought to the boil.",
+        "Saddle: a seat that lets a rider stay on a horse for hours.",
+        "Shelf: a flat board on which books and cups find their place.",
+        "Museum: a house that keeps old things and shows them to visitors.",
+        "Anvil: the block of iron upon which a smith shapes hot metal.",
+        "Ledger: a book where every sum that was paid is written down.",
+        "Trail: a narrow way through woods, made by many feet.",
+    ]
+    fine = [(103, "\n".join(glossary))]
     pages = [(*r, None, "x", "y") for r in site()] + [(i, f"https://some.example/{i}", f"A headline of page {i}", None, f"A headline of page {i}\n{t}", None, "x", "y") for i, t in stuffed + fine]
     found = {int(r.doc): r.stuffing for r in pagebody.bodies(pagebody.page_documents(spark.createDataFrame(pages, SITE))).collect()}
     assert {i for i, s in found.items() if s > pagebody.STUFFED} == {100, 101, 102}
