@@ -1,12 +1,13 @@
 """Queries on crawl jobs, index content and link graphs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import merge as M
 from ..operators.search import top
 from ..runtime import staged, table
-from .tables import CONTENT, JOBS, content, jobs, sql_domain
+from .tables import CONTENT, JOBS, clicks, content, jobs, sql_domain
 
 c = F.col
 HREF = r'<a href="([^"]*)"'
@@ -89,9 +90,11 @@ def _edges(spark, folder):
 
 
 def _page_clicks(spark, folder):
-    """Pages that follow each other in the clicks of one search: a graph with cycles."""
-    k = table(spark, folder, "click_events").where("page_id is not null").select("search_event_id", "page_id").distinct()
-    return k.select((c("search_event_id") % 97).alias("src"), (c("page_id") % 97).alias("dst")).distinct()
+    """Pages that follow each other in the clicks of one search, by time: a graph with cycles, over whole page ids."""
+    k = clicks(spark, folder).where("page_id is not null and search_event_id is not null")
+    w = Window.partitionBy("search_event_id").orderBy("clicked_at", "id")
+    # a page clicked again does not follow itself
+    return k.select(c("page_id").alias("src"), F.lead("page_id").over(w).alias("dst")).where("src <> dst").distinct()
 
 
 def bfs_reach(spark, folder):
@@ -100,8 +103,10 @@ def bfs_reach(spark, folder):
 
 
 def bfs_levels(spark, folder):
+    """Pages within three clicks of the pages that follow no other."""
     e = staged(_page_clicks(spark, folder))
-    return G.reach(spark.range(1).select(c("id").alias("node")), e, 3)
+    seeds = e.select(c("src").alias("node")).join(e.select(c("dst").alias("node")), "node", "left_anti")
+    return G.reach(seeds, e, 3)
 
 
 def pagerank(spark, folder):
