@@ -17,6 +17,8 @@ SEED, PASSAGE = 5, 12
 #: Distinct seeds of the test items that are sent to every task (16 MB); more are joined instead.
 SENT = 2_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: Cells of the sequences that are aligned at once: a row of them stays in the cache.
+CELLS = 1 << 15
 
 
 def form_hashes(text: str) -> np.ndarray:
@@ -54,29 +56,40 @@ def _hits(wanted: np.ndarray | None):
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
-    """(longest common run of words, best Smith-Waterman score) of two word sequences.
+    """(longest common run of words, best Smith-Waterman score) of two word sequences."""
+    longest, best = align_many([doc], item)
+    return int(longest[0]), int(best[0])
 
-    Row by row over the item; the gap along the document is a running maximum.
+
+def align_many(docs: list[np.ndarray], item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest common runs and best Smith-Waterman scores of word sequences with one item.
+
+    Row by row over the item, all sequences at once; the gap along a sequence is a running maximum. Sequences are filled
+    up with words that the item does not have.
     """
-    along = np.arange(len(doc)) * GAP
-    score, run = np.zeros(len(doc) + 1, np.int64), np.zeros(len(doc) + 1, np.int64)
-    best = longest = 0
-    for word in item:
-        same = doc == word
-        run[1:] = (run[:-1] + 1) * same
-        run[0] = 0
-        cell = np.maximum(score[:-1] + np.where(same, MATCH, -MISMATCH), score[1:] - GAP)
+    words, codes = np.unique(item, return_inverse=True)
+    grid = np.full((len(docs), max(map(len, docs))), -1, np.int32)
+    for row, doc in zip(grid, docs):
+        at = np.minimum(np.searchsorted(words, doc), len(words) - 1)
+        row[: len(doc)] = np.where(words[at] == doc, at, -1)
+    count, width = grid.shape
+    along = (np.arange(width) * GAP).astype(np.int32)
+    score, run = np.zeros((count, width + 1), np.int32), np.zeros((count, width + 1), np.int32)
+    best, longest = np.zeros(count, np.int32), np.zeros(count, np.int32)
+    for word in codes.astype(np.int32):
+        same = (grid == word).astype(np.int32)
+        run[:, 1:] = (run[:, :-1] + 1) * same
+        cell = np.maximum(score[:, :-1] + same * np.int32(MATCH + MISMATCH) - np.int32(MISMATCH), score[:, 1:] - np.int32(GAP))
         cell = np.maximum(cell, 0)
-        cell = np.maximum(cell, np.maximum.accumulate(cell + along) - along)
-        score[1:] = cell
-        best, longest = max(best, int(cell.max())), max(longest, int(run.max()))
+        cell = np.maximum(cell, np.maximum.accumulate(cell + along, axis=1) - along)
+        score[:, 1:] = cell
+        best, longest = np.maximum(best, cell.max(axis=1)), np.maximum(longest, run.max(axis=1))
     return longest, best
 
 
-def _near(doc: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
-    """The stretches of a document around the n-grams it shares with an item; no alignment with a seed leaves them."""
-    at = np.flatnonzero(np.isin(grams(doc, SEED), grams(item, SEED)))
-    reach = 2 * len(item)
+def _near(doc: np.ndarray, seeds: np.ndarray, wanted: np.ndarray, reach: int) -> list[np.ndarray]:
+    """The stretches of a document around its n-grams that are wanted (sorted); no alignment with a seed leaves them."""
+    at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, seeds), len(wanted) - 1)] == seeds)
     out, begin, end = [], None, None
     for p in at:
         if end is not None and p - reach <= end:
@@ -92,24 +105,58 @@ def _near(doc: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
 
 def _aligned(batches):
     for batch in batches:
-        rows = []
+        rows, parts, seeds = [], {}, {}
         for doc, text, items in zip(batch["doc"], batch["text"], batch["items"]):
             words = form_hashes(text)
+            own = grams(words, SEED)
             for one in items:
-                item = np.frombuffer(one["words"], U)
-                pairs = [align(part, item) for part in _near(words, item)]
-                longest, best = (max(x) for x in zip(*pairs)) if pairs else (0, 0)
-                rows.append((doc, one["item"], longest, best, best / (MATCH * len(item))))
-        yield pd.DataFrame(rows, columns=["doc", "item", "run", "score", "share"])
+                key = one["words"]
+                item = np.frombuffer(key, U)
+                if key not in seeds:
+                    seeds[key] = np.unique(grams(item, SEED))
+                parts.setdefault(key, []).extend((len(rows), part) for part in _near(words, own, seeds[key], 2 * len(item)))
+                rows.append((doc, one["item"], len(item)))
+        best, longest = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for key, some in parts.items():
+            some.sort(key=lambda x: len(x[1]))  # equal lengths need little filling
+            while some:
+                n = max(1, min(len(some), CELLS // len(some[-1][1])))
+                at, docs = zip(*some[-n:])
+                del some[-n:]
+                run, score = align_many(list(docs), np.frombuffer(key, U))
+                np.maximum.at(longest, list(at), run)
+                np.maximum.at(best, list(at), score)
+        doc, item, length = zip(*rows) if rows else ((), (), ())
+        yield pd.DataFrame({"doc": doc, "item": item, "run": longest, "score": best, "share": best / (MATCH * np.array(length, float))})
+
+
+def _passage_seeds(hits: DataFrame, at: DataFrame) -> DataFrame:
+    """(item, gram): the rarest seed of each window of PASSAGE words, if all its seeds occur in the corpus."""
+    known = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+    ends = at.groupBy("item").agg((F.max("pos") + SEED - PASSAGE).alias("last"))
+    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - (PASSAGE - SEED)), F.least("pos", "last")))
+    return (
+        at.join(known, "gram", "left")
+        .join(ends.where("last >= 0"), "item")
+        .where(F.col("pos") - (PASSAGE - SEED) <= F.col("last"))
+        .select("item", window.alias("window"), rank.alias("seed"))
+        .groupBy("item", "window")
+        .agg(F.min("seed").alias("seed"))
+        .where("seed.n > 0")
+        .select("item", F.col("seed.gram").alias("gram"))
+        .distinct()
+    )
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", edited: bool = False) -> DataFrame:
     """(doc, item, run, score, share): documents that share a seed with an item, aligned with it.
 
     run is the longest unbroken run of common words, score that of the local alignment (2 a match, -1 a mismatch or a
     gap) and share its part of the item's own score. Texts are compared word by word in canonical form. Every run of
     PASSAGE words is found: of the seeds in each window of that many words of an item, the one that is rarest in the
-    corpus is looked up. Items of fewer words have no window and are never found. Rows with a null id or text are left
+    corpus is looked up. Items of fewer words have no window and are never found. A copy with edits may lack just that
+    seed, or any window that is whole: with `edited` every document that shares any seed is aligned. Rows with a null id or text are left
     out, repeated rows count once, and an empty table on either side gives no rows.
     """
     d = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -124,21 +171,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
         found = spread(d).mapInPandas(_hits(None), "doc long, gram long").join(wanted, "gram", "left_semi")
     hits = staged(found)
 
-    known = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
-    ends = at.groupBy("item").agg((F.max("pos") + SEED - PASSAGE).alias("last"))
-    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - (PASSAGE - SEED)), F.least("pos", "last")))
-    seeds = (
-        at.join(known, "gram", "left")
-        .join(ends.where("last >= 0"), "item")
-        .where(F.col("pos") - (PASSAGE - SEED) <= F.col("last"))
-        .select("item", window.alias("window"), rank.alias("seed"))
-        .groupBy("item", "window")
-        .agg(F.min("seed").alias("seed"))
-        .where("seed.n > 0")
-        .select("item", F.col("seed.gram").alias("gram"))
-        .distinct()
-    )
+    seeds = at.select("item", "gram").distinct() if edited else _passage_seeds(hits, at)
     pairs = hits.join(seeds, "gram").select("doc", "item").distinct()
     per_doc = staged(pairs.join(q, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "words")).alias("items")))
     return (

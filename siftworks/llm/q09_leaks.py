@@ -6,8 +6,8 @@ from ..runtime import table
 from .leaks import PASSAGE, leaked
 
 
-def _leaked(spark, folder):
-    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+def _leaked(spark, folder, edited=False):
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"), edited=edited)
 
 
 def p9_found(spark, folder):
@@ -16,8 +16,8 @@ def p9_found(spark, folder):
 
 
 def p9_alignments(spark, folder):
-    """Every document that shares a rare seed with an item, with its alignment; copies with edits show in share."""
-    return _leaked(spark, folder).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+    """Every document that shares a seed with an item, with its alignment; copies with edits show in share."""
+    return _leaked(spark, folder, edited=True).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
 def p9_items(spark, folder):
