@@ -7,8 +7,9 @@ from ..functions import intent as I
 from ..functions import ranking as R
 from ..functions.pagevalue import page_value
 from ..functions.text import domain
+from ..operators.search import latest
 from ..runtime import table
-from .tables import CONTENT, NOW, SEARCHES, as_of, content, quoted, searches, sql_any, sql_case, sql_days, sql_domain, sql_path, sql_per_type, sql_url_type
+from .tables import CONTENT, NOW, SEARCHES, as_of, content, jobs, quoted, searches, sql_any, sql_case, sql_days, sql_domain, sql_path, sql_per_type, sql_url_type
 
 c = F.col
 
@@ -57,13 +58,20 @@ def intent_match(spark, folder):
 
 
 def page_values(spark, folder):
-    """Value of the crawled pages by the counts their jobs hold; og and schema flags come from the page."""
-    pages = content(spark, folder)
+    """Value of the crawled pages by the counts of the latest completed job of their url; og and schema flags come from the page.
+
+    Internal and external links are the job's counts, headings those of its HTML. A page without such a job, and a count
+    that the job leaves out, has 0, which is what the columns default to.
+    """
+    done = jobs(spark, folder).where("status = 'completed' and url is not null")
+    done = latest(done, "url", F.desc_nulls_last("completed_at"), F.desc("job_id"))
+    n = done.select("url", c("internal_links_count").alias("internal"), c("external_links_count").alias("external"), F.regexp_count("content", F.lit(r"(?i)<h[1-6][\s>]")).alias("headings"))
+    pages = content(spark, folder).join(n, "url", "left").fillna(0, ["internal", "external", "headings"])
     has = lambda x: F.coalesce(x, F.lit("")) != ""
     depth = F.size(F.array_remove(F.split(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), ""))
     words = F.size(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     v = page_value(
-        c("url"), depth, c("id") % 60, c("id") % 150, words, F.lit(0), c("content_type") == "blog", has(c("jsonld")), has(F.get_json_object("jsonld", "$.datePublished")), has(F.get_json_object("jsonld", "$.author")), has(c("og_title")), has(c("description"))
+        c("url"), depth, c("internal"), c("external"), words, c("headings"), c("content_type") == "blog", has(c("jsonld")), has(F.get_json_object("jsonld", "$.datePublished")), has(F.get_json_object("jsonld", "$.author")), has(c("og_title")), has(c("description"))
     )
     return pages.select("id", v.alias("v")).select("id", F.round("v.total", 6).alias("total"), F.round("v.link", 6).alias("link"), c("v.content").alias("content"), "v.priority", "v.recommendation")
 
