@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import spread, staged
 
 ENTRY = "source string, kind string, loc string, lastmod string, changefreq string, priority double"
 # Places where sites keep their sitemaps.
@@ -52,14 +52,23 @@ def locations(sitemaps: DataFrame, source: str = "url", xml: str = "xml") -> Dat
     return sitemaps.select(F.col(source).alias("source"), found).withColumn("loc", F.trim("loc")).where(F.rlike("loc", F.lit("^https?://")))
 
 
-def expanded(roots: DataFrame, fetched: DataFrame, rounds: int = 3) -> DataFrame:
-    """All url entries below the root sitemaps: child sitemaps are looked up in `fetched` (url, xml) round by round."""
-    known = entries(roots)
+def expanded(roots: DataFrame, fetched: DataFrame, rounds: int | None = None) -> DataFrame:
+    """All url entries below the root sitemaps: child sitemaps are looked up in `fetched` (url, xml) until none is new.
+
+    Every sitemap is looked up once; `rounds` limits the depth if given.
+    """
+    known = staged(entries(roots))
     out = known.where("kind = 'url'")
-    for _ in range(rounds):
+    seen = None
+    while rounds is None or rounds > 0:
         children = known.where("kind = 'sitemap'").select(F.col("loc").alias("url")).distinct()
-        known = entries(fetched.join(children, "url"))
+        children = staged(children if seen is None else children.join(seen, "url", "left_anti"))
+        if children.isEmpty():
+            break
+        seen = children if seen is None else seen.union(children)
+        known = staged(entries(fetched.join(children, "url")))
         out = out.unionByName(known.where("kind = 'url'"))
+        rounds = None if rounds is None else rounds - 1
     return out.dropDuplicates(["loc"])
 
 
