@@ -1,8 +1,12 @@
 """Problems 4 and 5: the body of a page by template deduction over same-host pages, and pages stuffed with keywords.
 
-Lines are the tokens of a page. Those that occur under many headlines of one host, and share their occurrence vector,
-form an equivalence class; classes that hold enough pages are nested by their place in the page and make the template of
-the host. What the template leaves between the headline and its first class behind the text is the body.
+Lines are the tokens of a page. Tokens of a host with one occurrence vector form an equivalence class. A class with
+several paragraphs of prose is an article that several pages give out: those pages count as one from then on. The other
+classes make up the template of the host if they are valid: frequent, and in one order on every page. They are
+nested by their place, and the slot they leave between the headline and the first class behind the text is the body.
+
+Stuffed pages are told by the shapes of their lines: shapes are grouped over the crawl, and a shape that does not end
+sentences is one of lists if the pages that hold it are otherwise prose, else one of stuffing.
 """
 
 from __future__ import annotations
@@ -19,20 +23,25 @@ from pyspark.sql import functions as F
 
 from ..runtime import spread, staged
 
-#: A token belongs to the template if it occurs under at least this many headlines of the host, and this share of them.
+#: A class belongs to the template if it occurs in at least this many articles of the host, and this share of them ...
 HEADLINES, SHARE = 3, 0.004
-#: ... or is a token of at least so many hosts with the second share, at its usual place there.
-HOSTS, FIRM_SHARE = 3, 0.03
+#: ... or the second share where its tokens change their order from page to page. The second share on so many hosts
+#: makes a token template wherever it stands.
+FIRM_SHARE, HOSTS = 0.03, 3
+#: Paragraphs with one occurrence vector that make an article given out by several pages.
+PARAGRAPHS = 2
 #: Prose is a line with several sentences of more than so many characters, as short notices have several, too; on a page
 #: without such lines the second length will do.
 PROSE, SHORT_PROSE = 120, 40
 #: A token lies behind the text if on average at most this share of the prose follows it.
 BEHIND, FAR_BEHIND = 0.2, 0.05
-#: Words of non-sentence shapes on a stuffed page, as a share of its own words. More than half is asked for; ordinary
-#: articles made up of short lists and headings reach 0.54, the keywords of stuffed pages start at 0.69.
-STUFFED = 0.6
-#: Shorter bodies are too short to tell.
-LEAST_WORDS = 30
+#: A page is stuffed if more than this share of its own words stands in shapes of stuffing.
+STUFFED = 0.5
+#: A shape is taken to stand among prose until so many words of it have been seen elsewhere.
+PRIOR_WORDS = 30
+#: Lines of more characters are no headlines; of more than the second, no lines about the site; of more than the third,
+#: no bylines, trails or labels. The leading words of a line of markup that may be the title of a block.
+HEADLINE_SIZE, NOTICE_SIZE, LABEL_SIZE, LEADS = 400, 300, 120, 9
 
 TAG = re.compile(r"<[^<>]*>")
 ANCHOR = re.compile(r"<a\b[^<>]*>.*?</a>", re.IGNORECASE)
@@ -45,12 +54,6 @@ LINK = re.compile(r"https?://|www\.|\]\(", re.IGNORECASE)
 SEPARATORS = re.compile(r"[|;,•»·#/<>]")
 TRAIL = re.compile(r"^[^.!?]{0,40}?\s[»>/›|·]\s[^.!?]*$")
 DATE = re.compile(r"\b(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})\b")
-# Labels of advertisements and of links within the page.
-LABEL = re.compile(
-    r"^(sponsored by\b.{0,40}|advertisement|anzeige|werbung|publicité|publicidad|skip to content|zum inhalt springen|aller au contenu"
-    r"|ir al contenido|back to top|nach oben|haut de page|volver arriba)$",
-    re.IGNORECASE,
-)
 SUFFIX = re.compile(r"\s+[-|–—]\s+[^-|–—]*$")
 
 
@@ -95,17 +98,24 @@ def text_lines(content: str, markup: bool) -> tuple[list[tuple[int, str, str, bo
 
 
 def shape(sentence: str, words: list[str], closed: bool) -> int:
-    """Words on a scale, share of capitals, separators, links and a closing mark, packed into a number."""
+    """Words on a scale, numbers, share of capitals, separators, links and a closing mark, packed into 12 bits."""
     n = len(words)
-    size = n.bit_length()
+    size = 4 * min(15, n.bit_length()) + min(3, sum(any(map(str.isdigit, w)) for w in words))
     capitals = sum(w[0].isupper() for w in words) * 3 // max(1, n)
     separators = min(3, 4 * len(SEPARATORS.findall(sentence)) // max(1, n))
     return (((size * 4 + capitals) * 4 + separators) * 2 + bool(LINK.search(sentence))) * 2 + closed
 
 
+def _label(text: str) -> int:
+    """Key of a short line without its last name, the last word with a capital behind the first; 0 without one."""
+    words = text.split()
+    at = next((i for i in range(len(words) - 1, 0, -1) if words[i][0].isupper()), 0)
+    return key_of("\0" + " ".join(words[:at] + words[at + 1 :]).lower()) if at and len(words) > 2 and not DIGITS.search(text) else 0
+
+
 def _leads(form: str) -> list[int]:
-    """Keys of the first words of a line, one to nine: markup often has a whole block, with its title, in one line."""
-    words = form.split(" ", 9)[:9]
+    """Keys of the first words of a line: markup often has a whole block, with its title, in one line."""
+    words = form.split(" ", LEADS)[:LEADS]
     return [key_of(" ".join(words[:k])) for k in range(1, len(words) + 1)] if form.count(" ") >= 3 else []
 
 
@@ -146,7 +156,7 @@ def _sentences(lines: list[str]) -> tuple[list[list[int]], list[list[int]], list
 
 def _token_rows(batches):
     """One row per document: its lines as tokens, with what the later steps need of each line."""
-    columns = ["kind", "doc", "host", "head", "line", "token", "after", "use", "leads", "shapes", "words", "said"]
+    columns = ["kind", "doc", "host", "head", "line", "token", "stem", "after", "use", "leads", "shapes", "words", "said"]
     for batch in batches:
         rows = []
         for kind, doc, host, content, *named in zip(*(batch[c] for c in ("kind", "doc", "host", "content", "h1", "og", "title"))):
@@ -159,21 +169,23 @@ def _token_rows(batches):
             forms += [SUFFIX.sub("", x) for x in forms]
             forms = [x for x in (x.rstrip("…. ") for x in forms) if len(x) > 5]
             name = "".join(WORD.findall((host or "").split(".")[0].lower()))
-            tokens, use, lengths, leads = [], [], [], []
+            tokens, stems, use, lengths, leads = [], [], [], [], []
             for _, text, first, linked in lines:
                 form = line_form(first)
                 size = len(text)
-                head = size < 400 and any(form == x or (len(x) > 15 and form.startswith(x)) for x in forms)
+                head = size < HEADLINE_SIZE and any(form == x or (len(x) > 15 and form.startswith(x)) for x in forms)
                 own = dated = trail = False
-                if size < 300:
-                    own = len(name) > 5 and (name[:6] in form or name[:6] in text.lower()) and name in "".join(WORD.findall(text.lower()))
+                if size < NOTICE_SIZE:
+                    own = len(name) > 5 and name in "".join(WORD.findall(text.lower()))
                 prose = size > SHORT_PROSE and bool(MANY_SENTENCES.search(text))
-                if size < 120 and not prose:
+                stem = 0
+                if size < LABEL_SIZE and not prose:
                     dated = bool(DATE.search(text)) and not CLOSED.search(text)
                     trail = bool(TRAIL.match(text))
-                    dated = dated or (size < 60 and bool(LABEL.match(text)))
+                    stem = _label(text)
                 lengths.append(size if prose else 0)
                 tokens.append(key_of(form))
+                stems.append(stem)
                 use.append(head + 2 * linked + 4 * own + 8 * prose + 16 * trail + 32 * dated)
                 leads.append(_leads(form) if markup and not head else [])
             if max(lengths) > PROSE:
@@ -186,9 +198,10 @@ def _token_rows(batches):
                     kind,
                     doc,
                     host,
-                    key_of(forms[0][:60]) if forms else 0,
+                    key_of(forms[0]) if forms else 0,
                     [x[0] for x in lines],
                     tokens,
+                    stems,
                     after.tolist(),
                     use,
                     leads,
@@ -200,7 +213,7 @@ def _token_rows(batches):
         yield pd.DataFrame(rows, columns=columns)
 
 
-TOKENS = "kind string, doc string, host string, head long, line array<int>, token array<long>, after array<int>, use array<int>, leads array<array<long>>, shapes array<array<int>>, words array<array<int>>, said array<int>"
+TOKENS = "kind string, doc string, host string, head long, line array<int>, token array<long>, stem array<long>, after array<int>, use array<int>, leads array<array<long>>, shapes array<array<int>>, words array<array<int>>, said array<int>"
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
@@ -233,49 +246,81 @@ def host_of(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"^www\.", "")
 
 
+def articles(tokens: DataFrame) -> DataFrame:
+    """(host, art, article): the article each headline of a host belongs to.
+
+    Paragraphs of prose with one occurrence vector over the headlines of a host are a class. A class of several of them
+    is an article which several pages give out, be it under other headlines and with edits elsewhere; its headlines get
+    the name of the least of them, and take over the name that one has got by other classes.
+    """
+    prose = tokens.select("host", "art", F.explode(F.filter(F.arrays_zip("token", "use"), lambda x: x["use"].bitwiseAND(F.lit(8)) > 0)).alias("x"))
+    prose = staged(prose.select("host", F.col("x.token").alias("token"), "art").distinct())
+    vectors = prose.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("art")).alias("vector"), F.min("art").alias("least")).where("n >= 2")
+    vectors = staged(vectors)
+    classes = vectors.groupBy("host", "n", "vector").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= PARAGRAPHS)
+    given_out = vectors.join(classes, ["host", "n", "vector"]).select("host", "token", "least")
+    named = staged(prose.join(given_out, ["host", "token"]).groupBy("host", "art").agg(F.min("least").alias("to")))
+    further = named.select("host", F.col("art").alias("to"), F.col("to").alias("far"))
+    return named.join(further, ["host", "to"], "left").select("host", "art", F.coalesce("far", "to").alias("article"))
+
+
 def templates(tokens: DataFrame) -> DataFrame:
     """(host, names, places): the tokens of each host's template with their places.
 
-    Documents with one headline (copies, republished articles, a page and its job) count once for a token. Tokens of a
-    host with the same occurrence vector, compared by its count and a hash of its documents, form a class; its tokens are
-    nested by their place, the share of the prose that follows them: 1 before the text, 0 behind it. A host's template
-    has at most 250 times as many tokens as its documents have lines.
+    Documents with one headline (copies, a page and its job), and headlines of one article, count once for a token. Tokens
+    of a host with one occurrence vector over its articles (compared by its count and a hash) form a class, valid as said
+    above; its tokens are nested by their place, the share of the prose that follows them: 1 before the text, 0 behind
+    it. A label with a changing name is a token without that name, and needs FIRM_SHARE. A host's template has at
+    most 250 times as many tokens as its documents have lines.
     """
-    first = tokens.groupBy("kind", "host", "head").agg(F.min("doc").alias("doc"))
-    apart = first.where("head <> 0").select("kind", "host", "doc").unionByName(tokens.where("head = 0").select("kind", "host", "doc").distinct())
-    apart = staged(apart)
-    one = tokens.dropDuplicates(["kind", "doc"]).join(apart, ["kind", "host", "doc"])
-    hosts = apart.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    each = one.select("host", F.xxhash64("kind", "doc").alias("d"), F.explode(F.array_distinct(F.arrays_zip("token", "after"))).alias("x"))
+    tokens = tokens.dropDuplicates(["kind", "doc"]).withColumn("art", F.when(F.col("head") != 0, F.col("head")).otherwise(F.xxhash64("kind", "doc")))
+    first = tokens.groupBy("kind", "host", "art").agg(F.min("doc").alias("doc"))
+    one = tokens.join(first, ["kind", "host", "art", "doc"], "left_semi")
+    one = staged(one.join(articles(one), ["host", "art"], "left").withColumn("art", F.coalesce("article", "art")).drop("article"))
+    hosts = staged(one.groupBy("host").agg(F.count_distinct("art").alias("documents")))
+    places = F.transform(F.arrays_zip("token", "stem", "after", "use"), lambda x, i: F.struct(x["token"].alias("token"), x["stem"].alias("stem"), x["after"].alias("after"), i.alias("at")))
+    line = one.select("host", "art", F.explode(places).alias("x"))
+    each = line.select("host", "art", F.col("x.token").alias("token"), F.col("x.after").alias("after"), F.col("x.at").alias("at"), F.lit(False).alias("label"))
+    stem = line.where("x.stem <> 0").select("host", "art", F.col("x.stem").alias("token"), F.col("x.after").alias("after"), F.col("x.at").alias("at"), F.lit(True).alias("label"))
+    known = F.when(F.col("after") >= 0, F.col("after"))
+    per_article = staged(each.unionByName(stem).groupBy("host", "label", "token", "art").agg(F.sum(known).alias("sum"), F.count(known).alias("known"), F.min("at").alias("at")))
     counted = (
-        each.groupBy("host", F.col("x.token").alias("token"))
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor("d").alias("vector"), F.avg(F.when(F.col("x.after") >= 0, F.col("x.after"))).alias("after"))
+        per_article.groupBy("host", "label", "token")
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("art")).alias("vector"), F.try_divide(F.sum("sum"), F.sum("known")).alias("after"))
         .where("n >= 2")
         .join(hosts, "host")
     )
-    counted = staged(counted)
-    firm = counted.where(F.col("n") >= FIRM_SHARE * F.col("documents")).groupBy("token").agg(F.count(F.lit(1)).alias("on_hosts"), F.avg("after").alias("usual"))
+    counted = staged(counted.withColumn("firm", F.col("n") >= FIRM_SHARE * F.col("documents")))
+    firm = counted.where("firm").groupBy("token").agg(F.count(F.lit(1)).alias("on_hosts"), F.avg("after").alias("usual"))
     firm = staged(firm.where(F.col("on_hosts") >= HOSTS).select("token", "usual"))
-    shared = each.select("host", F.col("x.token").alias("token")).join(firm, "token").distinct()
-    own = counted.where((F.col("n") >= HEADLINES) & (F.col("n") >= SHARE * F.col("documents"))).select("host", "token", "n", "vector", "after")
-    kept = own.join(shared, ["host", "token"], "full").withColumn("after", F.coalesce("after", "usual"))
-    # the members of a class keep their order in the page: a class that holds menu and footer nests around the text
-    classes = kept.groupBy("host", "n", "vector").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("after", F.lit(100.0))).alias("before"), "token"))).alias("members"))
-    nested = classes.select("host", F.explode("members").alias("m"))
-    return nested.groupBy("host").agg(F.collect_list("m.token").alias("names"), F.collect_list(-F.col("m.before") / 100).alias("places"))
-
-
-def body_of(token, after, use, leads, names: dict[int, float]) -> list[int]:
+    shared = per_article.select("host", "token").join(firm, "token").distinct()
+
+    frequent = (F.col("n") >= HEADLINES) & (F.col("n") >= SHARE * F.col("documents"))
+    mine = counted.where(~F.col("label"))
+    classes = staged(mine.groupBy("host", "n", "vector").agg(F.count(F.lit(1)).alias("size")).where("size >= 2"))
+    members = mine.join(classes, ["host", "n", "vector"])
+    sequence = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]))
+    orders = per_article.where(~F.col("label")).join(members.select("host", "token", "n", "vector"), ["host", "token"]).groupBy("host", "n", "vector", "art").agg(sequence.alias("order"))
+    orders = orders.groupBy("host", "n", "vector").agg((F.min("order") == F.max("order")).alias("ordered"))
+    judged = mine.join(classes.join(orders, ["host", "n", "vector"]), ["host", "n", "vector"], "left").withColumn("ordered", F.coalesce("ordered", F.lit(True)))
+    valid = frequent & (F.col("ordered") | F.col("firm"))
+    own = judged.where(valid).select("host", "token", "after").unionByName(counted.where(F.col("label") & frequent & F.col("firm")).select("host", "token", "after"))
+    kept = own.join(shared, ["host", "token"], "full").withColumn("after", F.coalesce("after", "usual", F.lit(100.0)))
+    nested = F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("before"), "token")))
+    return kept.groupBy("host").agg(nested.alias("m")).select("host", F.col("m.token").alias("names"), F.transform("m", lambda x: -x["before"] / 100).alias("places"))
+
+
+def body_of(token, stem, after, use, leads, names: dict[int, float]) -> list[int]:
     """Indices of the body lines of one document, the headline first."""
     n = len(token)
     start = next((i for i in range(n) if use[i] & 1 and not use[i] & 2), None)
-    fixed = [i != start and token[i] in names for i in range(n)]
+    fixed = [i != start and (token[i] in names or stem[i] in names) for i in range(n)]
     if start is None:
         start = next((i for i in range(n) if not fixed[i] and not use[i] & (2 | 4 | 16)), n)
     end = n
     for i in range(start + 1, n):
         if fixed[i]:
-            place = names[token[i]]
+            place = names[token[i]] if token[i] in names else names[stem[i]]
         else:
             place = min((names[x] for x in leads[i] if x in names), default=1.0)
         # an advertisement before a short last paragraph looks as if behind the text, too
@@ -286,47 +331,59 @@ def body_of(token, after, use, leads, names: dict[int, float]) -> list[int]:
     return [i for i in range(start, end) if i == start or not (fixed[i] or use[i] & (2 | 4 | 32))]
 
 
-def stuffing(shapes, words, said, body: list[int]) -> float:
-    """Share of the body's words, its headline left aside, that stand in its few commonest non-sentence shapes."""
-    by_shape: Counter[int] = Counter()
-    good = stuffed = 0
-    for i in body[1:]:
-        good += said[i]
-        for s, n in zip(shapes[i], words[i]):
-            if s & 1:
-                stuffed += n  # closed like a sentence, made up of repeated keywords
-            else:
-                by_shape[s] += n
-    total = good + stuffed + sum(by_shape.values())
-    few = sum(n for _, n in by_shape.most_common(max(3, len(by_shape) // 2)))
-    return (few + stuffed) / total if total >= LEAST_WORDS else 0.0
-
-
 def _bodies(batches):
     for batch in batches:
         rows = []
         last_host, names = None, {}
-        for kind, doc, host, line, token, after, use, leads, shapes, words, said, known, places in zip(*(batch[c] for c in BODY_INPUT)):
+        for kind, doc, host, line, token, stem, after, use, leads, shapes, words, said, known, places in zip(*(batch[c] for c in BODY_INPUT)):
             if host != last_host or known is None:
                 names, last_host = dict(zip(known.tolist(), places.tolist())) if known is not None else {}, host
-            body = body_of(token.tolist(), after, use, leads, names)
-            rows.append((kind, doc, [int(line[i]) for i in body], stuffing(shapes, words, said, body)))
-        yield pd.DataFrame(rows, columns=["kind", "doc", "body", "stuffing"])
+            body = body_of(token.tolist(), stem.tolist(), after, use, leads, names)
+            other: Counter[int] = Counter()
+            times: Counter[int] = Counter()
+            for i in body[1:]:
+                for s, n in zip(shapes[i], words[i]):
+                    other[s] += n
+                    times[s] += 1
+            scaled = [8 * int(s) + min(7, times[s].bit_length()) for s in other]
+            rows.append((kind, doc, [int(line[i]) for i in body], sum(int(said[i]) for i in body[1:]), scaled, list(other.values())))
+        yield pd.DataFrame(rows, columns=["kind", "doc", "body", "said", "shape", "words"])
+
 
+BODY_INPUT = ["kind", "doc", "host", "line", "token", "stem", "after", "use", "leads", "shapes", "words", "said", "names", "places"]
 
-BODY_INPUT = ["kind", "doc", "host", "line", "token", "after", "use", "leads", "shapes", "words", "said", "names", "places"]
+
+def shapes_of_stuffing(found: DataFrame) -> list[int]:
+    """The shapes that mostly stand on pages without prose, each with how often it stands there; at most 2^15 of them.
+
+    found: (said, shape, words), a page's words in sentences, and its words in each shape that is none; a shape carries
+    the times it occurs on the page, on a scale. The words of all pages of the crawl are grouped by that, each weighted
+    with the share of sentences on its page, and PRIOR_WORDS among prose are added.
+    """
+    whole = F.col("said") + F.aggregate("words", F.lit(0).cast("long"), lambda a, n: a + n)
+    one = found.select((F.col("said") / whole).alias("prose"), F.explode(F.arrays_zip("shape", "words")).alias("x"))
+    n, among = F.sum("x.words"), F.sum(F.col("x.words") * F.col("prose"))
+    rows = one.groupBy("x.shape").agg(n.alias("n"), among.alias("among")).where((F.col("among") + PRIOR_WORDS) * 2 < F.col("n") + PRIOR_WORDS)
+    return [r[0] for r in rows.select("shape").collect()]
 
 
 def bodies(documents: DataFrame) -> DataFrame:
-    """(kind, doc, body, stuffing): the line numbers of each document's body, and its share of keyword shapes.
+    """(kind, doc, body, stuffing): the line numbers of each document's body, and its share of words in keyword shapes.
 
     documents: (kind, doc, host, content, h1, og, title); content of the kind crawl_jobs is HTML. The body starts at the
     headline, found by its markup or by the other fields, or else at the first line the template leaves. It ends at the
     first template class behind the text. Template lines between (advertisements, bylines, notices), lines that name the
-    site and lines of links only are no body. Documents without a line of text give no row, repeated rows one; unknown
-    hosts share a template; an empty table gives no rows.
+    site and lines of links only are no body. stuffing is a share of the body without its headline, 0 where nothing else
+    is there. Documents without a line of text give no row, repeated rows one; unknown hosts share a template; an empty
+    table gives no rows.
     """
     narrow = documents.select("kind", "doc", "host", "content", "h1", "og", "title")
     tokens = staged(spread(narrow).mapInPandas(_token_rows, TOKENS))
-    found = tokens.join(templates(tokens.select("kind", "doc", "host", "head", "token", "after")), "host", "left")
-    return found.select(*BODY_INPUT).mapInPandas(_bodies, "kind string, doc string, body array<int>, stuffing double").dropDuplicates(["kind", "doc"])
+    found = tokens.join(templates(tokens.select("kind", "doc", "host", "head", "token", "stem", "after", "use")), "host", "left")
+    found = found.select(*BODY_INPUT).mapInPandas(_bodies, "kind string, doc string, body array<int>, said long, shape array<int>, words array<long>")
+    found = staged(found.dropDuplicates(["kind", "doc"]))
+    stuffed = F.lit(shapes_of_stuffing(found) or [-1])
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    some = total(F.transform(F.arrays_zip("shape", "words"), lambda x: F.when(F.array_contains(stuffed, x["shape"]), x["words"]).otherwise(F.lit(0).cast("long"))))
+    share = F.coalesce(F.try_divide(some, F.col("said") + total("words")), F.lit(0.0))
+    return found.select("kind", "doc", "body", share.alias("stuffing"))
