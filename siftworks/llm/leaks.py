@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import spread, staged
-from .textform import canonical
+from .textform import folded
 from .wordhash import U, grams, word_hashes
 
 #: Words of a seed, and of the shortest passage that must be found for certain.
 SEED, PASSAGE = 5, 12
 #: Distinct seeds of the test items that are sent to every task (16 MB); more are joined instead.
 SENT = 2_000_000
+#: Bytes of the items' words that are sent to every task for the alignment; more are joined to the documents instead.
+SENT_BYTES = 64 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Cells of the sequences that are aligned at once: a row of them stays in the cache.
 CELLS = 1 << 15
 
 
 def form_hashes(text: str) -> np.ndarray:
-    """Hashes of the words of a text in its canonical form."""
-    return word_hashes(canonical(text))
+    """Hashes of the words of a text, whatever look-alikes it is written with."""
+    return word_hashes(folded(text))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -103,19 +105,27 @@ def _near(doc: np.ndarray, seeds: np.ndarray, wanted: np.ndarray, reach: int) ->
     return out
 
 
-def _aligned(batches):
+def _aligned(sent):
+    def run(batches):
+        yield from _alignments(batches, sent.value if sent else None)
+
+    return run
+
+
+def _alignments(batches, known: dict[int, bytes] | None):
+    """Align every document with its items: ids of known ones, or structs of id and words."""
     for batch in batches:
         rows, parts, seeds = [], {}, {}
         for doc, text, items in zip(batch["doc"], batch["text"], batch["items"]):
             words = form_hashes(text)
             own = grams(words, SEED)
             for one in items:
-                key = one["words"]
+                number, key = (one, known[one]) if known is not None else (one["item"], one["words"])
                 item = np.frombuffer(key, U)
                 if key not in seeds:
                     seeds[key] = np.unique(grams(item, SEED))
                 parts.setdefault(key, []).extend((len(rows), part) for part in _near(words, own, seeds[key], 2 * len(item)))
-                rows.append((doc, one["item"], len(item)))
+                rows.append((doc, number, len(item)))
         best, longest = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for key, some in parts.items():
             some.sort(key=lambda x: len(x[1]))  # equal lengths need little filling
@@ -173,9 +183,13 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
 
     seeds = at.select("item", "gram").distinct() if edited else _passage_seeds(hits, at)
     pairs = hits.join(seeds, "gram").select("doc", "item").distinct()
-    per_doc = staged(pairs.join(q, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "words")).alias("items")))
+    size = q.agg(F.sum(F.length("words")).alias("bytes"), F.count_distinct("item").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    small = (size["bytes"] or 0) <= SENT_BYTES and size["n"] == size["rows"]
+    sent = docs.sparkSession.sparkContext.broadcast({r["item"]: bytes(r["words"]) for r in q.collect()}) if small else None
+    items_of = pairs.select("doc", F.col("item").alias("one")) if small else pairs.join(q, "item").select("doc", F.struct("item", "words").alias("one"))
+    per_doc = staged(items_of.groupBy("doc").agg(F.collect_list("one").alias("items")))
     return (
         d.join(per_doc, "doc")
-        .mapInPandas(_aligned, "doc long, item long, run int, score int, share double")
+        .mapInPandas(_aligned(sent), "doc long, item long, run int, score int, share double")
         .dropDuplicates(["doc", "item"])
     )

@@ -75,12 +75,130 @@ def skeleton(text: str) -> str:
     return once if once.isascii() else unicodedata.normalize("NFD", once)
 
 
-def canonical(text: str) -> str:
-    """The skeleton with accents composed: the one form in which texts are compared and given out."""
+def folded(text: str) -> str:
+    """The skeleton with accents composed: a key by whose words texts are compared, not a text to give out."""
     once = _foreign.sub(_mapped, text)
     return once if once.isascii() else unicodedata.normalize("NFC", once)
 
 
+# Kana with the kanji of one shape; of these the numerals, and marks that only kana carry.
+TWINS = dict(zip("エカタトニハロー" + "ノ", "工力夕卜二八口一" + "丿"))
+NUMERALS, VOICED = "ニ二ハ八ー一", "\u3099\u309a"
+_kanji_twins = {v: k for k, v in TWINS.items()}
+_twin = re.compile("[" + "".join(TWINS) + "".join(_kanji_twins) + "]")
+_he = re.compile("[ヘへ]")
+_cross = re.compile("[" + "".join(k for k in LOOKALIKES if k not in TWINS and k != "ヘ") + "]")
+_letters = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])+")
+_turkish = re.compile("g\u0306|s\u0327|I\u0307", re.IGNORECASE)
+
+
+@cache
+def _plain() -> dict[int, str | None]:
+    """The prototypes without those that change a letter's script."""
+    wide = {cp for cp, to in prototypes().items() if unicodedata.normalize("NFKC", chr(cp)) in LOOKALIKES}
+    return {cp: to for cp, to in prototypes().items() if chr(cp) not in LOOKALIKES and cp not in wide} | {cp: unicodedata.normalize("NFKC", chr(cp)) for cp in wide if chr(cp) not in LOOKALIKES}
+
+
+@cache
+def script_of(ch: str) -> str:
+    name = unicodedata.name(ch, "").split(" ")[0]
+    return name if name in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN") else ""
+
+
+@cache
+def _letters_of(script: str) -> dict[str, str]:
+    """Latin letters with the letter of the script that has their shape, the commonest if there are several."""
+    return {to: ch for ch, to in reversed(LOOKALIKES.items()) if script_of(ch) == script}
+
+
+def _anchors(letters: str) -> dict[str, int]:
+    """Letters by script, of those that no other script has: a look-alike put in their place would be seen."""
+    found: dict[str, int] = {}
+    for ch in letters:
+        script = script_of(ch)
+        if script and (ch not in LOOKALIKES if script != "LATIN" else ch not in _letters_of("CYRILLIC") and ch not in _letters_of("GREEK")):
+            found[script] = found.get(script, 0) + 1
+    return found
+
+
+def _one_script(text: str) -> str:
+    whole: dict[str, int] = {}
+
+    def word(found: re.Match) -> str:
+        letters = found[0]
+        if not _cross.search(letters) and (letters.isascii() or not any(script_of(x) not in ("LATIN", "") for x in letters)):
+            return letters
+        mine = _anchors(letters)
+        if not mine and not whole:
+            whole.update(_anchors(text) or {"LATIN": 1})
+        target = max(mine or whole, key=(mine or whole).get)
+        scripts = {script_of(x) for x in letters} - {""}
+        if scripts == {target} and target != "LATIN":
+            return letters
+        back = _letters_of(target) if target != "LATIN" else {}
+        return "".join(x if script_of(x) == target and target != "LATIN" else back.get(to := LOOKALIKES.get(x, x), to if target == "LATIN" else x) for x in letters)
+
+    dotless = bool(_turkish.search(text))
+    out = _letters.sub(word, text.replace("ı", "\0") if dotless else text)
+    return out.replace("\0", "ı")
+
+
+def _katakana(ch: str) -> bool:
+    return "\u30a1" <= ch <= "\u30fe" and ch != "・"
+
+
+def _twins(text: str) -> str:
+    """Kana and kanji of one shape, as the nearest letters that have no twin show; unchanged if these don't agree."""
+
+    def beside(at: int, step: int) -> str:
+        at += step
+        while 0 <= at < len(text) and (text[at] in VOICED or text[at] in TWINS or text[at] in _kanji_twins):
+            at += step
+        return text[at] if 0 <= at < len(text) else ""
+
+    def one(found: re.Match) -> str:
+        ch, at = found[0], found.start()
+        kana = ch if ch in TWINS else _kanji_twins[ch]
+        if text[at + 1 : at + 2] and text[at + 1] in VOICED:
+            return kana
+        left, right = beside(at, -1), beside(at, 1)
+        kanas, kanjis = _katakana(left) + _katakana(right), ("\u4e00" <= left <= "\u9fff") + ("\u4e00" <= right <= "\u9fff")
+        if kanas and not kanjis and (ch not in NUMERALS or kanas == 2 or not right.isalnum()):
+            return kana
+        return TWINS[kana] if kanjis and not kanas else ch
+
+    def he(found: re.Match) -> str:
+        after = text[found.end() :].lstrip(VOICED)[:1] if found.end() < len(text) and text[found.end()] in VOICED else text[found.end() : found.end() + 1]
+        if _katakana(after):
+            return "ヘ"
+        before = text[: found.start()].rstrip(VOICED)[-1:] if text[found.start() - 1 : found.start()] in VOICED else text[max(0, found.start() - 1) : found.start()]
+        return found[0] if _katakana(before) and not "\u3041" <= after <= "\u309f" else "へ"
+
+    text = _twin.sub(one, text)
+    return _he.sub(he, text)
+
+
+def canonical(text: str) -> str:
+    """The one form in which texts are given out: width forms, ligatures, blanks, hyphens and invisible characters as in
+    the skeleton, accents composed, and each word in one script.
+
+    A word takes the script of its letters that no other script has, a word without such letters that of the text's; so
+    words of one script stay as they are, and a look-alike among them is replaced. Kana and kanji of one shape follow
+    their neighbours. The skeleton of the result is that of the text.
+    """
+    if text.isascii():
+        return _foreign.sub(_mapped, text)
+    table = _plain()
+    once = _foreign.sub(lambda m: "".join([table.get(ord(ch), ch) or "" for ch in unicodedata.normalize("NFD", m[0])]), text)
+    if once.isascii():
+        return once
+    if _cross.search(once) or any(script_of(x) not in ("LATIN", "") for x in set(once)):
+        once = _one_script(once)
+    if _twin.search(once) or _he.search(once):
+        once = _twins(once)
+    return unicodedata.normalize("NFC", once)
+
+
 _word = re.compile(r"[^\W_]+")
 
 
