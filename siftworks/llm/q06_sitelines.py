@@ -31,8 +31,13 @@ def p6_lines(spark, folder):
 
 
 def p6_cleaned(spark, folder):
+    """Every content without the lines that at least five different documents of its site hold, of two dates or more.
+
+    An article that several pages give out is one document, so its lines stay, other than in p6_found, which counts pages.
+    """
     pages = table(spark, folder, "pages")
-    return without_repeated(pages, repeated_lines(pages)[1]).withColumnRenamed("page", "page_id")
+    often = repeated_lines(pages, date=F.col("last_crawled_at"), at_least_clusters=5, at_least_dates=2)[1]
+    return without_repeated(pages, often).withColumnRenamed("page", "page_id")
 
 
 QUERIES = {"p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned}

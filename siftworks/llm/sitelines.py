@@ -36,8 +36,9 @@ def repeated_lines(
     A line is repeated if it occurs in at_least different pages of its site and in `share` (a fraction) of all pages of
     the site, those without content included. Pages of a site with equal content are collapsed to one cluster first;
     a line is counted once per cluster, with the cluster's number of pages as its weight, so pages are counted exactly
-    while each text is opened once. at_least_clusters and at_least_dates demand that many distinct clusters or
-    publication dates besides, so that republished articles are no boilerplate; by default they only report.
+    while each text is opened once. at_least_clusters and at_least_dates demand that many distinct clusters and
+    publication dates besides, so that republished articles are no boilerplate; by default they only report. Dates are
+    demanded of lines that have as many clusters with a date.
 
     Pages without site or id are left out. Null content has no lines, blank lines are none. Repeated rows count once.
     An empty table gives no rows. Other columns are ignored.
@@ -77,9 +78,9 @@ def repeated_lines(
         if date is not None
         else None
     )
-    often = often.drop("dated")
     often = often.join(dates, ["site", "key"], "left").fillna(0, ["dates"]) if dates is not None else often.withColumn("dates", F.lit(0).cast("long"))
-    return rows, often.where((F.col("clusters") >= at_least_clusters) & (F.col("dates") >= at_least_dates))
+    several = (F.col("clusters") >= at_least_clusters) & ((F.col("dates") >= at_least_dates) | (F.col("dated") < at_least_dates))
+    return rows, often.where(several).drop("dated")
 
 
 def occurrences(rows: DataFrame, often: DataFrame) -> DataFrame:
