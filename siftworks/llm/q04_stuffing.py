@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .pagebody import STUFFED, bodies, page_documents
+from .pagebody import STUFFED, bodies, host_of, page_documents
 
 
 def p4_found(spark, folder):
@@ -11,15 +11,22 @@ def p4_found(spark, folder):
     return pages.where(F.col("stuffing") > STUFFED).select(F.col("doc").cast("long").alias("page_id"))
 
 
+def _url_key(url):
+    """A url without its scheme, www., case and closing slash: some jobs spell the page's url otherwise."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), r"^[a-z]+://(www\.)?", ""), "/+$", "")
+
+
 def p4_links(spark, folder):
-    """Stuffed pages of each host with the median link counts of their crawl jobs."""
+    """Stuffed pages of each host with the median link counts of their completed crawl jobs; null where there are none."""
     stuffed = p4_found(spark, folder)
-    pages = table(spark, folder, "pages").select(F.col("id").alias("page_id"), "url").distinct()
-    jobs = table(spark, folder, "crawl_jobs").where("lower(trim(status)) = 'completed'").select("job_id", "url", "domain", "internal_links_count", "external_links_count").distinct()
+    host = host_of(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1)).alias("domain")
+    pages = table(spark, folder, "pages").select(F.col("id").alias("page_id"), host, _url_key(F.col("url")).alias("key")).distinct()
+    jobs = table(spark, folder, "crawl_jobs").where("lower(trim(status)) = 'completed'")
+    jobs = jobs.select("job_id", _url_key(F.col("url")).alias("key"), "internal_links_count", "external_links_count").distinct()
     return (
         stuffed.join(pages, "page_id")
-        .join(jobs, "url")
-        .groupBy(F.regexp_replace(F.lower("domain"), r"^www\.", "").alias("domain"))
+        .join(jobs, "key", "left")
+        .groupBy("domain")
         .agg(
             F.countDistinct("page_id").alias("pages"),
             F.percentile("internal_links_count", 0.5).alias("internal_links"),
