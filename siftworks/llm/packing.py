@@ -15,8 +15,10 @@ from ..runtime import spread, staged
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Rows that one task numbers at most, on average, where many texts have one length.
 NUMBERED = 500_000
-#: Capacities packed in one call; they are listed in the plan.
+#: Capacities packed in one call; they are listed in the plan. More are an error.
 WINDOWS = 100
+#: Rows of the plan that are sent to every task (24 bytes each); a longer plan is joined to the pieces instead.
+SENT_ROWS = 1_000_000
 
 
 @cache
@@ -130,12 +132,15 @@ def packed(counts: DataFrame, windows: DataFrame, window_id: str = "window_id",
     pieces = staged(pieces.select("window_id", "id", "piece_no", length.alias("len"), "capacity"))
 
     histogram = staged(pieces.groupBy("window_id", "capacity", "len").agg(F.count(F.lit(1)).alias("n")))
-    rows = histogram.where("len > 0").groupBy("window_id").applyInPandas(_planned, PLAN).toPandas()
-    plan = {
-        key: tuple(g[x].to_numpy() for x in ("first", "per", "container"))
-        for key, g in rows.sort_values(["window_id", "len", "first"]).groupby(["window_id", "len"])
-    }
-    total = {int(w): int(x) for w, x in (rows["container"] + rows["times"] - 1).groupby(rows["window_id"]).max().items()}
+    steps = staged(histogram.where("len > 0").groupBy("window_id").applyInPandas(_planned, PLAN))
+    ends = steps.groupBy("window_id").agg(F.max(F.col("container") + F.col("times") - 1).alias("last"), F.count(F.lit(1)).alias("rows")).collect()
+    total = {r["window_id"]: r["last"] for r in ends}
+    listed_plan = steps.groupBy("window_id", "len").agg(F.array_sort(F.collect_list(F.struct("first", "per", "container"))).alias("steps"))
+    joined = sum(r["rows"] for r in ends) > SENT_ROWS
+    plan = None
+    if not joined:
+        rows = steps.toPandas().sort_values(["window_id", "len", "first"])
+        plan = {key: tuple(g[x].to_numpy() for x in ("first", "per", "container")) for key, g in rows.groupby(["window_id", "len"])}
     sent = pieces.sparkSession.sparkContext.broadcast((plan, total))
 
     # numbers within one length: a part's rows are numbered on their own, after all rows of the parts before it
@@ -149,7 +154,9 @@ def packed(counts: DataFrame, windows: DataFrame, window_id: str = "window_id",
     numbered = split.withColumn("place", place).join(offsets, group)
     number = F.when(F.col("len") > 0, F.col("offset") + F.col("place") - 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     kind = dict(pieces.dtypes)["id"]
-    return numbered.select("window_id", "id", "piece_no", "len", number.alias("number")).mapInPandas(
+    numbered = numbered.select("window_id", "id", "piece_no", "len", number.alias("number"))
+    numbered = numbered.join(listed_plan, ["window_id", "len"], "left") if joined else numbered
+    return numbered.mapInPandas(
         _placed(sent), f"window_id int, id {kind}, piece_no long, tokens int, container_id long"
     )
 
@@ -164,7 +171,7 @@ def _placed(sent):
                 if key[1] == 0:
                     out[at] = 1 + numbers[at] % max(1, total.get(key[0], 0))
                     continue
-                first, per, container = plan[key]
+                first, per, container = plan[key] if plan is not None else (np.array([s[x] for s in batch["steps"].iloc[at[0]]]) for x in ("first", "per", "container"))
                 k = np.searchsorted(first, numbers[at], side="right") - 1
                 out[at] = container[k] + (numbers[at] - first[k]) // per[k]
             yield pd.DataFrame({"window_id": batch["window_id"], "id": batch["id"], "piece_no": batch["piece_no"], "tokens": batch["len"], "container_id": out})
