@@ -379,7 +379,9 @@ def bodies(documents: DataFrame) -> DataFrame:
     """
     narrow = documents.select("kind", "doc", "host", "content", "h1", "og", "title")
     tokens = staged(spread(narrow).mapInPandas(_token_rows, TOKENS))
-    found = tokens.join(templates(tokens.select("kind", "doc", "host", "head", "token", "stem", "after", "use")), "host", "left")
+    # written, so that the join reads two shuffles and can split a host of many pages
+    template = staged(templates(tokens.select("kind", "doc", "host", "head", "token", "stem", "after", "use")))
+    found = tokens.join(template, "host", "left")
     found = found.select(*BODY_INPUT).mapInPandas(_bodies, "kind string, doc string, body array<int>, said long, shape array<int>, words array<long>")
     found = staged(found.dropDuplicates(["kind", "doc"]))
     stuffed = F.lit(shapes_of_stuffing(found) or [-1])
