@@ -29,6 +29,15 @@ TRACKERS = {
     "cloudflare": (1, [r"cloudflare\.com"]),
     "cdn": (1, [r"cdn", r"jsdelivr", r"unpkg"]),
 }
+# Calls in inline scripts that name a tracker, in order of the search; a pixel of no known tracker.
+INLINE = {"google_analytics": (2, [r"ga\("]), "gtag": (2, [r"gtag\("]), "facebook_pixel": (4, [r"fbq\("]), "twitter_pixel": (3, [r"twq\("]), "hotjar": (5, [r"hj\("]), "fullstory": (5, [r"_fs_\("]), "amplitude": (2, [r"amplitude\.track"]), "mixpanel": (2, [r"mixpanel\.track"])}
+UNKNOWN_PIXEL = ("unknown_pixel", 3)
+# Categories of the profile.
+CATEGORIES = {
+    "analytics": ["google_analytics", "gtag", "amplitude", "mixpanel"],
+    "advertising": ["facebook_pixel", "google_ads", "criteo", "twitter_pixel", "tiktok_pixel"],
+    "heatmap": ["hotjar", "fullstory", "sessioncam", "smartlook", "microsoft_clarity", "contentsquare"],
+}
 COUNTED = {"google_analytics": r"google-analytics|UA-\d+", "facebook_pixel": r"facebook\.com/tr|fbq\(", "google_ads": r"google.*?ads|googleadservices", "mixpanel": r"mixpanel\.com", "amplitude": r"amplitude\.com", "hotjar": r"hotjar\.com", "intercom": r"intercom\.com", "rollbar": r"rollbar\.com", "sentry": r"sentry\.io"}
 ELEMENTS = {"script": r"""(?i)<script[^>]*src=["']?([^"'>\s]+)""", "inline_script": r"(?is)<script[^>]*>([^<]+)</script>", "pixel": r"""(?i)<img[^>]*src=["']?([^"'>\s]+)""", "iframe": r"""(?i)<iframe[^>]*src=["']?([^"'>\s]+)"""}
 PROFILES = [(4.5, "severe_tracking_risk"), (3.5, "heavy_trackers"), (2.5, "moderate_trackers"), (1.5, "minimal_trackers")]
@@ -39,12 +48,19 @@ SAFETY = [(0.9, "clean"), (0.7, "minimal"), (0.5, "moderate"), (0.3, "heavy")]
 def _named(text: Column, kind: str) -> Column:
     """struct(name, kind, risk) of the first tracker that a source or a snippet shows, or null."""
     out = F.lit(None)
-    for name, (risk, patterns) in reversed(TRACKERS.items()):
+    if kind == "pixel":
+        name, risk = UNKNOWN_PIXEL
+        out = F.when(F.rlike(text, F.lit("(?i)pixel")), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(risk).alias("risk")))
+    for name, (risk, patterns) in reversed((INLINE if kind == "inline_script" else TRACKERS).items()):
         found = F.rlike(text, F.lit("(?i)" + "|".join(patterns)))
         out = F.when(found, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(risk).alias("risk"))).otherwise(out)
     return out
 
 
+def _finder(kind: str):
+    return lambda source: _named(source, kind)
+
+
 def trackers(html: Column) -> Column:
     """array<struct(name, kind, risk)> of the distinct trackers in scripts, inline scripts, pixels and frames."""
     text = F.coalesce(html, F.lit(""))
@@ -53,8 +69,7 @@ def trackers(html: Column) -> Column:
         sources = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         if kind == "pixel":
             sources = F.filter(sources, lambda s: F.rlike(s, F.lit("(?i)pixel|beacon")))
-        # every pixel is one tracker at least: its pattern is among those of the table
-        found.append(F.array_compact(F.transform(sources, lambda s, k=kind: _named(s, k))))
+        found.append(F.array_compact(F.transform(sources, _finder(kind))))
     return F.array_distinct(F.concat(*found))
 
 
@@ -73,6 +88,14 @@ def _report(found: Column) -> Column:
     return F.struct(found.alias("trackers"), n.alias("count"), average.alias("average"), safety.alias("safety"), profile.alias("profile"))
 
 
+def category(name: Column) -> Column:
+    """The category of a tracker, other for those without one."""
+    out = F.lit("other")
+    for kind, names in CATEGORIES.items():
+        out = F.when(name.isin(names), F.lit(kind)).otherwise(out)
+    return out
+
+
 def tracker_count(html: Column) -> Column:
     """struct(count, risk, profile) by nine patterns over the whole page; risk is 0 for clean."""
     text = F.coalesce(html, F.lit(""))

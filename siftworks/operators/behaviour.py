@@ -68,22 +68,24 @@ def rapid_clicks(clicks: DataFrame, searches: DataFrame, most: int = 10) -> Data
 
 
 def search_sequence(searches: DataFrame, session: str = "session_id", bucket_seconds: int = 86_400) -> DataFrame:
-    """(id, number in its session, seconds since the one before, whether it is the last of the session).
+    """(id, number in its session, seconds since the one before, ms to the next, whether it is the last of the session).
 
     A session that lasts for years is windowed by day, so that no task holds all of it; one row per day then carries the
-    number of earlier events, the time of the last of them and whether a later day follows.
+    number of earlier events, the time of the last of them and of the first of a later day.
     """
     day = F.floor(F.unix_micros("created_at") / (bucket_seconds * 1_000_000)).alias("day")
     s = searches.where(F.col(session).isNotNull() & F.col("created_at").isNotNull()).select("id", session, "created_at", day)
     days = Window.partitionBy(session).orderBy("day")
     earlier = F.coalesce(F.sum("n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_day = s.groupBy(session, "day").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("end"))
-    per_day = per_day.select(session, "day", earlier.alias("earlier"), F.lag("end").over(days).alias("end_before"), F.lead("day").over(days).isNull().alias("last_day"))
+    per_day = s.groupBy(session, "day").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("end"), F.min("created_at").alias("begin"))
+    per_day = per_day.select(session, "day", earlier.alias("earlier"), F.lag("end").over(days).alias("end_before"), F.lead("begin").over(days).alias("begin_after"))
     w = Window.partitionBy(session, "day").orderBy("created_at", "id")
-    inside = s.select("id", session, "day", "created_at", F.row_number().over(w).alias("place"), F.lag("created_at").over(w).alias("before"), F.lead("created_at").over(w).isNull().alias("last_place"))
+    inside = s.select("id", session, "day", "created_at", F.row_number().over(w).alias("place"), F.lag("created_at").over(w).alias("before"), F.lead("created_at").over(w).alias("after"))
     since = (F.unix_micros("created_at") - F.unix_micros(F.coalesce("before", "end_before"))) / 1_000_000
+    following = F.unix_micros(F.coalesce("after", "begin_after"))
+    until = F.floor((following - F.unix_micros("created_at")) / 1000).cast("long")
     number = (F.col("earlier") + F.col("place")).cast("int")
-    return inside.join(per_day, [session, "day"]).select("id", session, number.alias("number"), since.alias("seconds_since"), (F.col("last_day") & F.col("last_place")).alias("is_last"))
+    return inside.join(per_day, [session, "day"]).select("id", session, number.alias("number"), since.alias("seconds_since"), until.alias("next_search_time_ms"), following.isNull().alias("is_last"))
 
 
 def click_scores(pages: DataFrame, clicks: DataFrame, page_id: str = "id", score: str = "click_score") -> DataFrame:

@@ -28,7 +28,8 @@ def search(content: DataFrame, query: str, as_of: Column, limit: int = 10, offse
     """Hits of the query in title, h1, description or content, by rank ("text") or quality, with their place.
 
     content: id, url, domain, title, h1, description, content, content_type, quality_score, last_crawled_at. Unknown
-    ranks come first, equal ones by id.
+    ranks come first, equal ones by id. Repeated rows of an id count once; the hits have no content column, so that no
+    text is shuffled.
     """
     hits = content.where(matches(query, F.col("title"), F.col("h1"), F.col("description"), F.col("content")))
     if domain:
@@ -38,7 +39,7 @@ def search(content: DataFrame, query: str, as_of: Column, limit: int = 10, offse
     if least_quality is not None:
         hits = hits.where(F.col("quality_score") >= least_quality)
     score = F.col("quality_score") if rank == "quality" else search_rank(query, *(F.col(c) for c in ("title", "h1", "url", "description", "quality_score", "last_crawled_at")), as_of)
-    ranked = hits.withColumn("rank", score)
+    ranked = hits.withColumn("rank", score).drop("content").dropDuplicates(["id"])
     best = top(ranked, F.desc_nulls_first("rank"), F.asc("id"), limit=limit, offset=offset)
     place = F.row_number().over(Window.orderBy(F.desc_nulls_first("rank"), F.asc("id")))  # over at most limit rows
     return best.withColumn("place", place + offset)
@@ -127,7 +128,9 @@ def fuzzy_search(content: DataFrame, query: str, limit: int = 10, offset: int =
     """
     ship(content.sparkSession)
     hits = content.where(matches(query, F.col("title"), F.col("h1"), F.col("description"), F.col("content")))
-    candidates = top(hits, F.desc_nulls_last("quality_score"), F.asc("id"), limit=3 * (limit + offset)).select("id", "title", "content", "url", "quality_score")
+    best = top(hits.select("id", "quality_score").dropDuplicates(["id"]), F.desc_nulls_last("quality_score"), F.asc("id"), limit=3 * (limit + offset))
+    best = F.broadcast(best.select("id"))  # at most 3 * (limit + offset) ids
+    candidates = hits.join(best, "id", "left_semi").select("id", "title", "content", "url", "quality_score").dropDuplicates(["id"])
     matched = candidates.mapInPandas(_fuzzy_columns(query), "id long, m_title double, m_content double, m_content_low double, m_url double")
     matched = matched.join(candidates.select("id", "quality_score"), "id")
     base = F.when(F.coalesce("quality_score", F.lit(0.0)) != 0, F.col("quality_score") * 10).otherwise(F.lit(5.0))

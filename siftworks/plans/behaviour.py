@@ -159,8 +159,9 @@ SELECT *, round(greatest(0.1::DOUBLE, least(1.5::DOUBLE, 0.5::DOUBLE + least(0.2
     "user_category": FACTS + """SELECT CASE WHEN trust - 0.3::DOUBLE >= 0.8 THEN 'trusted_long_term' WHEN trust - 0.3::DOUBLE >= 0.5 AND days_active >= 7 THEN 'established' WHEN trust - 0.3::DOUBLE >= 0.3 AND anomalies = 0 THEN 'normal'
   WHEN anomalies > 0 THEN 'suspicious' ELSE 'new' END AS category, count(*) AS sessions FROM t GROUP BY 1""",
     "rapid_clicks": RAPID + "SELECT * FROM r",
-    "search_sequence": f"""WITH {SEARCHES} SELECT id, session_id, CAST(row_number() OVER w AS INT) AS number, CAST((epoch_us(created_at) - lag(epoch_us(created_at)) OVER w) / 1000000.0 AS DOUBLE) AS seconds_since, lead(id) OVER w IS NULL AS is_last
-  FROM searches WHERE session_id IS NOT NULL AND created_at IS NOT NULL WINDOW w AS (PARTITION BY session_id, date_trunc('day', created_at) ORDER BY created_at, id)""",
+    "search_sequence": f"""WITH {SEARCHES} SELECT id, session_id, CAST(row_number() OVER w AS INT) AS number, CAST((epoch_us(created_at) - lag(epoch_us(created_at)) OVER w) / 1000000.0 AS DOUBLE) AS seconds_since,
+  CAST(floor((lead(epoch_us(created_at)) OVER w - epoch_us(created_at)) / 1000) AS BIGINT) AS next_search_time_ms, lead(id) OVER w IS NULL AS is_last
+  FROM searches WHERE session_id IS NOT NULL AND created_at IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)""",
     "click_score": f"WITH {CLICKS} SELECT p.id, round(coalesce(click_score, 0) + coalesce(n, 0), 6) AS click_score FROM (SELECT DISTINCT id, click_score FROM pages) p LEFT JOIN (SELECT page_id, count(*) AS n FROM clicks GROUP BY 1) k ON k.page_id = p.id",
     "stream_clicks": f"WITH {CLICKS} SELECT page_id, date_trunc('day', clicked_at) AS day, count(*) AS clicks, count(*) FILTER (coalesce(is_success_signal, false)) AS successes FROM click_events WHERE page_id IS NOT NULL AND clicked_at IS NOT NULL GROUP BY ALL",
     "stream_rapid": "SELECT page_id, date_trunc('minute', clicked_at) AS minute, count(*) AS clicks FROM click_events WHERE clicked_at IS NOT NULL GROUP BY ALL HAVING count(*) > 1",

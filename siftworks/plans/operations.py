@@ -126,7 +126,8 @@ def robots_paths(spark, folder):
 DONE = f"WITH {JOBS}, d AS (SELECT job_id, url, domain FROM jobs WHERE status = 'completed')"
 EDGES = f"""WITH RECURSIVE {JOBS}, x AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(content, '{HREF}', 1)) AS href FROM jobs WHERE content IS NOT NULL),
 e AS (SELECT DISTINCT url AS src, CASE WHEN starts_with(href, '/') THEN root || href ELSE href END AS dst FROM x), """
-GRAPH = "e AS (SELECT DISTINCT search_event_id % 97 AS src, page_id % 97 AS dst FROM click_events WHERE page_id IS NOT NULL)"
+GRAPH = """o AS (SELECT page_id AS src, lead(page_id) OVER (PARTITION BY search_event_id ORDER BY clicked_at NULLS FIRST, id) AS dst FROM (SELECT DISTINCT * FROM click_events) WHERE page_id IS NOT NULL AND search_event_id IS NOT NULL),
+e AS (SELECT DISTINCT src, dst FROM o WHERE src <> dst)"""
 
 QUERIES = {
     "job_status_counts": job_status_counts, "session_stats": session_stats, "worker_metrics": worker_metrics, "index_stats": index_stats, "top_domains": top_domains, "domain_jobs": domain_jobs, "frontier_next": frontier_next,
@@ -154,7 +155,7 @@ SELECT url, substring(title, 1, 40) AS title, origin FROM (SELECT * FROM n UNION
     "bfs_reach": EDGES + """s AS (SELECT DISTINCT src AS node FROM e WHERE src LIKE '%.example/%'), l1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s) AND dst NOT IN (SELECT node FROM s)),
 l2 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM l1) AND dst NOT IN (SELECT node FROM s UNION SELECT node FROM l1)), a AS (SELECT 0 AS depth, node FROM s UNION ALL SELECT 1, node FROM l1 UNION ALL SELECT 2, node FROM l2)
 SELECT depth, count(*) AS nodes FROM a GROUP BY 1""",
-    "bfs_levels": f"""WITH RECURSIVE {GRAPH}, w AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node""",
+    "bfs_levels": f"""WITH RECURSIVE {GRAPH}, w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node""",
     "pagerank": f"WITH {GRAPH}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r0 AS (SELECT node, 1.0::DOUBLE AS rank FROM n), " + ", ".join(_round(k) for k in range(1, 9)) + " SELECT node, round(rank, 6) AS rank FROM r8",
     "robots_allowed": f"""WITH {CONTENT}, p AS (SELECT DISTINCT domain, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM content),
 r AS (SELECT domain, '/news' AS rule, 0 AS allow FROM sites UNION ALL SELECT domain, '/news/' || (id % 10), 1 FROM sites UNION ALL SELECT domain, '/blog/', 0 FROM sites UNION ALL SELECT domain, '/blog/', 1 FROM sites),

@@ -8,7 +8,7 @@ from ..operators import html as H
 from ..operators import spam as S
 from ..operators.search import top
 from ..runtime import staged, table
-from .tables import CONTENT, JOBS, SEARCHES, content, jobs, quoted, searches, sql_domain, sql_path
+from .tables import CONTENT, JOBS, SEARCHES, content, html_rows, jobs, quoted, searches, sql_domain, sql_path
 
 c = F.col
 TITLE = r"(?s)<title[^>]*>(.*?)</title>"
@@ -60,7 +60,7 @@ def _html(spark, folder):
 
 def html_titles(spark, folder):
     take = lambda p: F.nullif(F.regexp_extract("content", p, 1), F.lit(""))
-    return _html(spark, folder).select("job_id", take(TITLE).alias("title"), take(HEAD1).alias("h1"), F.size(F.regexp_extract_all("content", F.lit(HREF), F.lit(1))).alias("links"))
+    return html_rows(spark, folder, lambda j: j.select("job_id", "digest", take(TITLE).alias("title"), take(HEAD1).alias("h1"), F.size(F.regexp_extract_all("content", F.lit(HREF), F.lit(1))).alias("links")))
 
 
 def html_metadata(spark, folder):
@@ -79,14 +79,15 @@ def html_favicons(spark, folder):
 
 def domain_links(spark, folder):
     """Distinct links of a page in order, the first 20, then those of its own host."""
-    j = _html(spark, folder)
-    hrefs = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(HREF), F.lit(1)))), 1, 20)
-    kept = F.filter(hrefs, lambda h: F.startswith(h, F.lit("/")) | F.contains(h, c("domain")))
+    hrefs = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(HREF), F.lit(1)))), 1, 20).alias("hrefs")
+    j = html_rows(spark, folder, lambda j: j.select("job_id", "digest", "domain", hrefs))
+    kept = F.filter("hrefs", lambda h: F.startswith(h, F.lit("/")) | F.contains(h, c("domain")))
     return j.select("job_id", F.explode(kept).alias("href"))
 
 
 def dup_ratio(spark, folder):
-    p = content(spark, folder)
+    text = F.when(F.coalesce("content", F.lit("")) != "", F.sha2(T.clean_text(F.lower("content")), 256)).alias("content")
+    p = content(spark, folder, False).select("id", "domain", text).dropDuplicates(["id"])
     return S.duplicate_ratio(p, "domain", "content").select("domain", "pages", F.round("ratio", 6).alias("ratio"))
 
 
@@ -105,7 +106,9 @@ def link_farm(spark, folder):
 def spam_reports(spark, folder):
     done = staged(jobs(spark, folder).where("status = 'completed'").select("domain", "content", "internal_links_count", "external_links_count", "word_count"))
     facts = S.link_farm(done, "domain").join(S.system_counts(done, "domain", "content").select("domain", "mixed"), "domain").join(S.duplicate_ratio(done, "domain", "content").select("domain", "ratio"), "domain")
-    return S.spam_report(facts).select("domain", F.size("signals").alias("signals"), F.round("spam_score", 6).alias("spam_score"), "risk_level")
+    back = reciprocal(spark, folder).select(F.regexp_replace("domain", r"^www\\.", "").alias("domain"), "links", "reciprocal").groupBy("domain").agg((F.sum("reciprocal") / F.sum("links")).alias("reciprocal_ratio"))
+    facts = facts.join(back, "domain", "left")
+    return S.spam_report(facts).select("domain", F.size("signals").alias("signals"), F.array_join("flags", ",").alias("flags"), F.round("spam_score", 6).alias("spam_score"), "risk_level", F.size("recommendations").alias("recommendations"))
 
 
 def reciprocal(spark, folder):
@@ -115,11 +118,11 @@ def reciprocal(spark, folder):
 
 
 def tracker_detect(spark, folder):
-    return _html(spark, folder).select("job_id", K.tracker_report(c("content")).alias("r")).select("job_id", c("r.count").alias("trackers"), F.round("r.safety", 6).alias("safety"), c("r.profile").alias("profile"))
+    return html_rows(spark, folder, lambda j: j.select("job_id", "digest", K.tracker_report(c("content")).alias("r"))).select("job_id", c("r.count").alias("trackers"), F.round("r.safety", 6).alias("safety"), c("r.profile").alias("profile"))
 
 
 def tracker_counts(spark, folder):
-    return _html(spark, folder).select("job_id", K.tracker_count(c("content")).alias("r")).select("job_id", "r.count", "r.risk", "r.profile")
+    return html_rows(spark, folder, lambda j: j.select("job_id", "digest", K.tracker_count(c("content")).alias("r"))).select("job_id", "r.count", "r.risk", "r.profile")
 
 
 def tracker_distribution(spark, folder):
@@ -134,9 +137,12 @@ def _found(low: str, patterns: str) -> str:
 _links = "(coalesce(internal_links_count, 0) + coalesce(external_links_count, 0))"
 _clean = r"trim(regexp_replace(lower(content), '\s+', ' ', 'g'), ' ')"
 _html_sql = f"WITH {JOBS}, h AS (SELECT * FROM jobs WHERE content IS NOT NULL)"
-_systems = {n: " + ".join(f"CAST(contains(content, {quoted(s)}) AS INT)" for s in parts) for n, parts in S.SYSTEMS.items()}
+_systems = {n: " + ".join(f"CAST(contains(lower(content), {quoted(s.lower())}) AS INT)" for s in parts) for n, parts in S.SYSTEMS.items()}
 FACTS = f"""WITH {JOBS}, d AS (SELECT * FROM jobs WHERE status = 'completed'),
-f AS (SELECT domain, avg({_links}) AS avg_links, max(CASE WHEN word_count > 0 THEN {_links} / word_count END) AS max_density, avg(CAST(coalesce(external_links_count, 0) > coalesce(internal_links_count, 0) * 2 AS INT)) AS share_external FROM d GROUP BY domain)"""
+f AS (SELECT domain, avg({_links}) AS avg_links, max(CASE WHEN word_count > 0 THEN {_links} / word_count END) AS max_density, avg(CAST(coalesce(external_links_count, 0) > coalesce(internal_links_count, 1) * 2 AS INT)) AS share_external FROM d GROUP BY domain)"""
+EDGES = f"""x AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(content, {quoted(HREF)}, 1)) AS href FROM jobs WHERE content IS NOT NULL),
+e AS (SELECT DISTINCT url AS src, CASE WHEN starts_with(href, '/') THEN root || href ELSE href END AS dst FROM x), g AS (SELECT *, regexp_extract(lower(src), '^[a-z]+://([^/?#]+)', 1) AS s_host, regexp_extract(lower(dst), '^[a-z]+://([^/?#]+)', 1) AS d_host FROM e),
+reciprocals AS (SELECT a.s_host AS domain, count(DISTINCT (a.src, a.dst)) AS links, count(b.src) AS reciprocal FROM g a LEFT JOIN g b ON b.s_host = a.d_host AND b.dst = a.src WHERE a.d_host <> a.s_host GROUP BY a.s_host)"""
 _name_cases = " ".join(f"WHEN {_found('x', '|'.join(ps))} THEN {quoted(n + '/' + str(r))}" for n, (r, ps) in K.TRACKERS.items())
 _elements = {
     "script": (r"""<script[^>]*src=["']?([^"'>\s]+)""", ""),
@@ -144,8 +150,10 @@ _elements = {
     "pixel": (r"""<img[^>]*src=["']?([^"'>\s]+)""", " WHERE regexp_matches(x, '(?i)pixel|beacon')"),
     "iframe": (r"""<iframe[^>]*src=["']?([^"'>\s]+)""", ""),
 }
+_inline_cases = " ".join(f"WHEN {_found('x', '|'.join(ps))} THEN {quoted(n + '/' + str(r))}" for n, (r, ps) in K.INLINE.items())
+_cases = lambda k: _inline_cases if k == "inline_script" else _name_cases + (f" WHEN {_found('x', 'pixel')} THEN '{K.UNKNOWN_PIXEL[0]}/{K.UNKNOWN_PIXEL[1]}'" if k == "pixel" else "")
 _sources = " UNION ALL ".join(
-    f"SELECT DISTINCT job_id, '{k}/' || n AS t FROM (SELECT job_id, CASE {_name_cases} END AS n FROM (SELECT job_id, x FROM (SELECT job_id, unnest(regexp_extract_all(content, {quoted('(?is)' + p)}, 1)) AS x FROM h){w})) WHERE n IS NOT NULL"
+    f"SELECT DISTINCT job_id, '{k}/' || n AS t FROM (SELECT job_id, CASE {_cases(k)} END AS n FROM (SELECT job_id, x FROM (SELECT job_id, unnest(regexp_extract_all(content, {quoted('(?is)' + p)}, 1)) AS x FROM h){w})) WHERE n IS NOT NULL"
     for k, (p, w) in _elements.items()
 )
 _count = " + ".join(f"CAST({_found('content', p)} AS INT)" for p in K.COUNTED.values())
@@ -182,16 +190,16 @@ SELECT domain, CAST(sum(n) AS BIGINT) AS pages, round(CAST(sum(CASE WHEN k IS NO
 SELECT *, CASE WHEN greatest(wordpress, drupal, joomla, wix) = 0 THEN NULL {' '.join(f"WHEN {n} = greatest(wordpress, drupal, joomla, wix) THEN '{n}'" for n in S.SYSTEMS)} END AS system,
   {' + '.join(f'CAST({n} > 0 AS INT)' for n in S.SYSTEMS)} >= 2 AS mixed FROM n""",
     "link_farm": FACTS + " SELECT domain, round(avg_links, 6) AS avg_links, round(CAST(max_density AS DOUBLE), 6) AS max_density, round(share_external, 6) AS share_external FROM f",
-    "spam_report": FACTS + f""", s AS (SELECT domain, {' + '.join(f'CAST(coalesce(sum({e}), 0) > 0 AS INT)' for e in _systems.values())} >= 2 AS mixed FROM d GROUP BY domain),
+    "spam_report": FACTS + f""", {EDGES}, s AS (SELECT domain, {' + '.join(f'CAST(coalesce(sum({e}), 0) > 0 AS INT)' for e in _systems.values())} >= 2 AS mixed FROM d GROUP BY domain),
 u AS (SELECT domain, sum(CASE WHEN k IS NOT NULL THEN n - 1 ELSE 0 END) / sum(n) AS ratio FROM (SELECT domain, CASE WHEN coalesce(content, '') <> '' THEN {_clean} END AS k, count(*) AS n FROM d GROUP BY ALL) GROUP BY domain),
-p AS (SELECT domain, mixed, ratio, CAST(coalesce(avg_links > 200, false) AS INT) * 4 + CAST(coalesce(max_density > 0.4, false) AS INT) * 3 + CAST(coalesce(share_external > 0.5, false) AS INT) * 3 AS tenths FROM f JOIN s USING (domain) JOIN u USING (domain)),
-v AS (SELECT domain, CAST(tenths >= 5 AS INT) + CAST(mixed AS INT) + CAST(ratio >= 0.2 AS INT) AS signals, CASE WHEN tenths >= 5 THEN least(1.0, tenths / 10.0::DOUBLE) * CASE WHEN tenths >= 7 THEN 80 ELSE 50 END ELSE 0 END
-  + CASE WHEN mixed THEN 35 ELSE 0 END + CASE WHEN ratio >= 0.2 THEN ratio * CASE WHEN ratio >= 0.5 THEN 80 ELSE 50 END ELSE 0 END AS total FROM p),
-w AS (SELECT domain, signals, CASE WHEN signals > 0 THEN least(100.0, total / signals) ELSE 0 END AS score FROM v)
-SELECT domain, signals, round(CAST(score AS DOUBLE), 6) AS spam_score, CASE WHEN score >= 75 THEN 'spam' WHEN score >= 45 THEN 'suspicious' ELSE 'clean' END AS risk_level FROM w""",
-    "reciprocal_links": f"""{_html_sql}, x AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(content, {quoted(HREF)}, 1)) AS href FROM h),
-e AS (SELECT DISTINCT url AS src, CASE WHEN starts_with(href, '/') THEN root || href ELSE href END AS dst FROM x), g AS (SELECT *, regexp_extract(lower(src), '^[a-z]+://([^/?#]+)', 1) AS s_host, regexp_extract(lower(dst), '^[a-z]+://([^/?#]+)', 1) AS d_host FROM e)
-SELECT a.s_host AS domain, count(DISTINCT (a.src, a.dst)) AS links, count(b.src) AS reciprocal FROM g a LEFT JOIN g b ON b.s_host = a.d_host AND b.dst = a.src GROUP BY a.s_host""",
+y AS (SELECT regexp_replace(domain, '^www\\.', '') AS domain, sum(reciprocal) / sum(links) AS back FROM reciprocals GROUP BY 1),
+p AS (SELECT domain, mixed, ratio, back, CAST(coalesce(avg_links > 200, false) AS INT) * 4 + CAST(coalesce(max_density > 0.4, false) AS INT) * 3 + CAST(coalesce(share_external > 0.5, false) AS INT) * 3 AS tenths FROM f JOIN s USING (domain) JOIN u USING (domain) LEFT JOIN y USING (domain)),
+v AS (SELECT domain, list_filter([CASE WHEN tenths >= 5 THEN 'link_farm' END, CASE WHEN mixed THEN 'cms_anomaly' END, CASE WHEN ratio >= 0.2 THEN 'content_duplication' END, CASE WHEN back >= 0.6 THEN 'reciprocal_linking' END], lambda x: x IS NOT NULL) AS names,
+  CASE WHEN tenths >= 5 THEN least(1.0, tenths / 10.0::DOUBLE) * CASE WHEN tenths >= 7 THEN 80 ELSE 50 END ELSE 0 END + CASE WHEN mixed THEN 35 ELSE 0 END
+  + CASE WHEN ratio >= 0.2 THEN ratio * CASE WHEN ratio >= 0.5 THEN 80 ELSE 50 END ELSE 0 END + CASE WHEN back >= 0.6 THEN least(1.0, back) * CASE WHEN back >= 0.8 THEN 80 ELSE 50 END ELSE 0 END AS total FROM p),
+w AS (SELECT domain, names, CASE WHEN len(names) > 0 THEN least(100.0, total / len(names)) ELSE 0 END AS score FROM v)
+SELECT domain, CAST(len(names) AS INT) AS signals, array_to_string(names, ',') AS flags, round(CAST(score AS DOUBLE), 6) AS spam_score, CASE WHEN score >= 75 THEN 'spam' WHEN score >= 45 THEN 'suspicious' ELSE 'clean' END AS risk_level, CAST(len(names) + 1 AS INT) AS recommendations FROM w""",
+    "reciprocal_links": f"""{_html_sql}, {EDGES} SELECT * FROM reciprocals""",
     "tracker_detect": f"""{_html_sql}, t AS ({_sources}), n AS (SELECT h.job_id, count(t.t) AS n, avg(CAST(split_part(t.t, '/', 3) AS INT)) AS a FROM h LEFT JOIN t USING (job_id) GROUP BY h.job_id)
 SELECT job_id, CAST(n AS INT) AS trackers, round(greatest(0.1, least(1.0, 1.0 - coalesce(a, 1.0) / 5 - n * 0.05)), 6) AS safety, CASE WHEN n = 0 THEN 'clean' WHEN a >= 4.5 THEN 'severe_tracking_risk' WHEN a >= 3.5 THEN 'heavy_trackers' WHEN a >= 2.5 THEN 'moderate_trackers' WHEN a >= 1.5 THEN 'minimal_trackers' ELSE 'clean' END AS profile FROM n""",
     "tracker_count": f"""{_html_sql}, n AS (SELECT job_id, {_count} AS n FROM h) SELECT job_id, n AS count, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 2 THEN 0.3 WHEN n <= 4 THEN 0.6 WHEN n <= 6 THEN 0.8 ELSE 1 END AS DOUBLE) AS risk,

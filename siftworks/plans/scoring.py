@@ -8,8 +8,8 @@ from ..functions import ranking as R
 from ..functions.pagevalue import page_value
 from ..functions.text import domain
 from ..operators.search import latest
-from ..runtime import table
-from .tables import CONTENT, NOW, SEARCHES, as_of, content, jobs, quoted, searches, sql_any, sql_case, sql_days, sql_domain, sql_path, sql_per_type, sql_url_type
+from ..runtime import spread, table
+from .tables import CONTENT, JOBS, NOW, SEARCHES, as_of, content, html_rows, jobs, quoted, searches, sql_any, sql_case, sql_days, sql_domain, sql_path, sql_per_type, sql_url_type
 
 c = F.col
 
@@ -22,13 +22,13 @@ def classify_url(spark, folder):
 def page_types(spark, folder):
     schema = F.get_json_object("jsonld", "$['@type']")
     root = F.regexp_replace("url", "/$", "") == F.concat(F.lit("https://"), c("domain"))
-    return content(spark, folder).select("id", C.page_type(c("url"), schema, c("content"), root).alias("page_type"))
+    return content(spark, folder, False).select("id", C.page_type(c("url"), schema, c("content"), root).alias("page_type")).dropDuplicates(["id"])
 
 
 def content_classify(spark, folder):
     schema = F.get_json_object("jsonld", "$['@type']")
     kind = C.classify(F.coalesce("url", F.lit("")), F.coalesce("content", F.lit("")), F.coalesce(schema, F.lit("")))
-    return content(spark, folder).select("id", kind.alias("k")).select("id", c("k.type").alias("content_type"), F.round("k.confidence", 6).alias("confidence"))
+    return spread(content(spark, folder, False)).select("id", kind.alias("k")).dropDuplicates(["id"]).select("id", c("k.type").alias("content_type"), F.round("k.confidence", 6).alias("confidence"))
 
 
 def content_type_distribution(spark, folder):
@@ -63,24 +63,25 @@ def page_values(spark, folder):
     Internal and external links are the job's counts, headings those of its HTML. A page without such a job, and a count
     that the job leaves out, has 0, which is what the columns default to.
     """
-    done = jobs(spark, folder).where("status = 'completed' and url is not null")
-    done = latest(done, "url", F.desc_nulls_last("completed_at"), F.desc("job_id"))
-    n = done.select("url", c("internal_links_count").alias("internal"), c("external_links_count").alias("external"), F.regexp_count("content", F.lit(r"(?i)<h[1-6][\s>]")).alias("headings"))
-    pages = content(spark, folder).join(n, "url", "left").fillna(0, ["internal", "external", "headings"])
+    counted = F.regexp_count("content", F.lit(r"(?i)<h[1-6][\s>]")).alias("headings")
+    headings = html_rows(spark, folder, lambda j: j.select("job_id", "digest", counted))
+    done = jobs(spark, folder).where("status = 'completed' and url is not null").select("job_id", "url", "completed_at", c("internal_links_count").alias("internal"), c("external_links_count").alias("external"))
+    n = latest(done, "url", F.desc_nulls_last("completed_at"), F.desc("job_id")).join(headings, "job_id", "left").select("url", "internal", "external", "headings")
+    known = content(spark, folder, False).withColumn("words", F.size(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).drop("content").dropDuplicates(["id"])
+    pages = known.join(n, "url", "left").fillna(0, ["internal", "external", "headings"])
     has = lambda x: F.coalesce(x, F.lit("")) != ""
     depth = F.size(F.array_remove(F.split(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), ""))
-    words = F.size(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     v = page_value(
-        c("url"), depth, c("internal"), c("external"), words, c("headings"), c("content_type") == "blog", has(c("jsonld")), has(F.get_json_object("jsonld", "$.datePublished")), has(F.get_json_object("jsonld", "$.author")), has(c("og_title")), has(c("description"))
+        c("url"), depth, c("internal"), c("external"), c("words"), c("headings"), c("content_type") == "blog", has(c("jsonld")), has(F.get_json_object("jsonld", "$.datePublished")), has(F.get_json_object("jsonld", "$.author")), has(c("og_title")), has(c("description"))
     )
     return pages.select("id", v.alias("v")).select("id", F.round("v.total", 6).alias("total"), F.round("v.link", 6).alias("link"), c("v.content").alias("content"), "v.priority", "v.recommendation")
 
 
 def quality_gate(spark, folder):
-    pages = content(spark, folder)
+    pages = content(spark, folder, False)
     none = F.lit(None).cast("double")
     q = C.quality(c("content_type"), c("content"), c("url"), c("title"), c("og_title"), c("description"), c("description"), c("og_image_url"), c("h1"), F.lit(0), none, none)
-    return pages.select("id", q.alias("q")).select("id", "q.score", "q.indexed", "q.reason", F.round("q.metadata_quality", 6).alias("metadata_quality"))
+    return pages.select("id", q.alias("q")).dropDuplicates(["id"]).select("id", "q.score", "q.indexed", "q.reason", F.round("q.metadata_quality", 6).alias("metadata_quality"))
 
 
 def quality_counts(spark, folder):
@@ -88,10 +89,10 @@ def quality_counts(spark, folder):
 
 
 def harmony_rank(spark, folder):
-    pages, sites = content(spark, folder), table(spark, folder, "sites").select(c("id").alias("site_id"), "trust_score")
+    pages, sites = content(spark, folder, False), table(spark, folder, "sites").select(c("id").alias("site_id"), "trust_score")
     h = R.harmony("research", c("quality_score"), c("last_crawled_at"), c("domain"), c("trust_score"), c("content"), c("h1"), c("click_score"), c("pagerank_score"), c("tracker_risk_score"), as_of())
     joined = pages.where("quality_score is not null").join(sites, "site_id", "left")
-    return joined.select("id", h.alias("h")).select("id", F.round("h.score", 6).alias("score"), F.round("h.recency", 6).alias("recency"), F.round("h.domain_trust", 6).alias("domain_trust"), F.round("h.engagement", 6).alias("engagement"))
+    return joined.select("id", h.alias("h")).dropDuplicates(["id"]).select("id", F.round("h.score", 6).alias("score"), F.round("h.recency", 6).alias("recency"), F.round("h.domain_trust", 6).alias("domain_trust"), F.round("h.engagement", 6).alias("engagement"))
 
 
 def final_scores(spark, folder):
@@ -208,11 +209,13 @@ array_to_string(list_filter([{', '.join(quoted(x) for x in _keys)}], lambda x: c
 array_to_string(list_filter([CASE WHEN contains(q, 'cheapest') THEN 'budget' END, CASE WHEN s_commercial > 0 THEN 'comparison' END, CASE WHEN contains(q, 'free') THEN 'free' END, CASE WHEN s_local > 0 THEN 'location-based' END, CASE WHEN contains(q, '2024') OR contains(q, '2025') THEN 'recent' END], lambda x: x IS NOT NULL), ',') AS modifiers FROM m""",
     "intent_match": f"""WITH {SEARCHES}, a AS (SELECT intent_type, count(*) AS times FROM searches WHERE intent_type IS NOT NULL GROUP BY intent_type), p AS (SELECT *, unnest(['text_article', 'forum', 'video', 'image', 'tool']) AS content_type FROM a)
 SELECT *, CAST({sql_case([(f"intent_type = '{i}' AND content_type = '{t}'", str(v)) for (i, t), v in I.FIT.items()], '0.5')} AS DOUBLE) AS fit, {sql_case([(f"intent_type = '{i}'", quoted(t)) for i, t in I.BEST_CONTENT.items()], "'text_article'")} AS best FROM p""",
-    "page_value": f"""WITH {CONTENT}, a AS (SELECT *, {_depth} AS depth, id % 60 AS links, id % 150 AS back, len(regexp_extract_all(coalesce(content, ''), '[\\p{{L}}\\p{{N}}_]+')) AS words, {' + '.join(f'CAST({f} AS INT)' for f in _flags.values())} AS flags FROM content),
+    "page_value": f"""WITH {CONTENT}, {JOBS}, j AS (SELECT url, internal_links_count AS links, external_links_count AS back, len(regexp_extract_all(content, '(?i)<h[1-6][\\s>]')) AS heads FROM jobs WHERE status = 'completed' AND url IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY completed_at DESC NULLS LAST, job_id DESC) = 1),
+a AS (SELECT content.*, {_depth.replace('url', 'content.url')} AS depth, coalesce(links, 0) AS links, coalesce(back, 0) AS back, coalesce(heads, 0) AS heads, len(regexp_extract_all(coalesce(content.content, ''), '[\\p{{L}}\\p{{N}}_]+')) AS words, {' + '.join(f'CAST({f} AS INT)' for f in _flags.values())} AS flags FROM content LEFT JOIN j ON content.url = j.url),
 s AS (SELECT *, CASE WHEN depth <= 1 THEN 100.0 WHEN depth = 2 THEN 85.0 WHEN depth = 3 THEN 70.0 WHEN depth = 4 THEN 55.0 WHEN depth = 5 THEN 40.0 ELSE greatest(10.0, 40.0 * exp(-0.2 * (depth - 5))) END AS d,
   CASE WHEN links = 0 THEN 20.0 WHEN links = 1 THEN 40.0 WHEN links <= 3 THEN 60.0 WHEN links <= 10 THEN 75.0 WHEN links <= 50 THEN 85.0 ELSE least(100.0, 85.0 + ln(links) / ln(100.0)) END AS p,
   CASE WHEN back = 0 THEN 30.0 WHEN back <= 5 THEN 50.0 WHEN back <= 20 THEN 70.0 WHEN back <= 100 THEN 85.0 ELSE least(100.0, 85.0 + ln(back) / ln(1000.0)) END AS b,
-  least(100.0, 50.0 + CASE WHEN {_article} THEN 15 ELSE 0 END + flags * 5 + CASE WHEN words >= 500 THEN 10 WHEN words >= 300 THEN 7 WHEN words >= 100 THEN 3 ELSE 0 END) AS q, flags / 5 * 100 AS m,
+  least(100.0, 50.0 + CASE WHEN {_article} THEN 15 ELSE 0 END + flags * 5 + CASE WHEN words >= 500 THEN 10 WHEN words >= 300 THEN 7 WHEN words >= 100 THEN 3 ELSE 0 END + CASE WHEN heads >= 5 THEN 5 WHEN heads >= 3 THEN 3 ELSE 0 END) AS q, flags / 5 * 100 AS m,
   greatest(10.0, CASE WHEN {_article} THEN 80 ELSE 50 END - CASE WHEN {sql_any(f"lower({sql_path('url')})", ['archive', 'category', 'tag', 'author'])} THEN 15 ELSE 0 END - CASE WHEN length(url) - length(replace(url, '?', '')) > 1 THEN 10 ELSE 0 END) AS u FROM a),
 t AS (SELECT *, d * 0.15 + p * 0.15 + b * 0.15 + q * 0.20 + m * 0.15 + 50 * 0.10 + u * 0.10 AS total FROM s)
 SELECT id, round(CAST(total AS DOUBLE), 6) AS total, round(CAST((d + p + b) / 3 AS DOUBLE), 6) AS link, CAST(q AS DOUBLE) AS content, CASE WHEN total >= 75 THEN 1 WHEN total >= 55 THEN 3 WHEN total >= 35 THEN 6 ELSE 10 END AS priority,

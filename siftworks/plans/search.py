@@ -18,24 +18,24 @@ def _ranked(hits):
 
 
 def search_ranked(spark, folder):
-    return _ranked(search(content(spark, folder), QUERY, as_of()))
+    return _ranked(search(content(spark, folder, False), QUERY, as_of()))
 
 
 def search_paged(spark, folder):
-    return _ranked(search(content(spark, folder), QUERY, as_of(), limit=15, offset=10))
+    return _ranked(search(content(spark, folder, False), QUERY, as_of(), limit=15, offset=10))
 
 
 def search_filtered(spark, folder):
-    return _ranked(search(content(spark, folder), QUERY, as_of(), limit=20, domain="hub", content_type="blog", least_quality=0.6))
+    return _ranked(search(content(spark, folder, False), QUERY, as_of(), limit=20, domain="hub", content_type="blog", least_quality=0.6))
 
 
 def search_quality_fallback(spark, folder):
-    return _ranked(search(content(spark, folder), QUERY, as_of(), rank="quality"))
+    return _ranked(search(content(spark, folder, False), QUERY, as_of(), rank="quality"))
 
 
 def search_with_analysis(spark, folder):
     """The best hits, and only for these the latest finished analysis of their url."""
-    hits = search(content(spark, folder), QUERY, as_of(), limit=50).select("place", "id", "url")
+    hits = search(content(spark, folder, False), QUERY, as_of(), limit=50).select("place", "id", "url")
     done = jobs(spark, folder).where("status = 'completed'").select("url", "job_id", "completed_at", "page_value_score", "spam_score")
     found = done.join(F.broadcast(hits.select("url").distinct()), "url")  # at most 50 urls
     last = latest(found, "url", F.desc_nulls_last("completed_at"), F.asc("job_id"))
@@ -43,22 +43,22 @@ def search_with_analysis(spark, folder):
 
 
 def search_response(spark, folder):
-    return response(search(content(spark, folder), QUERY, as_of(), limit=20))
+    return response(search(content(spark, folder, False), QUERY, as_of(), limit=20))
 
 
 def job_fallback(spark, folder):
     """No page holds the word, so crawl jobs are searched by their title and description."""
     word = "zzznothing"
-    hits = search(content(spark, folder), word, as_of()).select(F.col("id").cast("string").alias("key"), "title", F.lit("search_content").alias("source"))
+    hits = search(content(spark, folder, False), word, as_of()).select(F.col("id").cast("string").alias("key"), "title", F.lit("search_content").alias("source"))
     known = jobs(spark, folder).where((F.col("status") == "completed") & F.ilike(F.coalesce("title", F.lit("")), F.lit(f"%{QUERY}%")))
     other = top(known, F.desc_nulls_last("page_value_score"), F.asc("job_id"), limit=10).select(F.col("job_id").alias("key"), "title", F.lit("crawl_jobs").alias("source"))
     return with_fallback(hits, other)
 
 
 def simple_scores(spark, folder):
-    c = content(spark, folder)
+    c = content(spark, folder, False)
     score = simple_score(["the", QUERY], F.col("title"), F.col("url"), F.col("h1"), F.col("content"), F.length(F.coalesce("content", F.lit(""))), F.coalesce(days_between(F.col("last_crawled_at"), as_of()), F.lit(0)))
-    return c.select("id", F.round(score, 6).alias("score"))
+    return c.select("id", F.round(score, 6).alias("score")).dropDuplicates(["id"])
 
 
 def suggestions(spark, folder):
@@ -76,12 +76,13 @@ def images_found(spark, folder):
 
 
 def list_contents(spark, folder):
-    c = top(content(spark, folder), F.desc_nulls_last("last_crawled_at"), F.asc("id"), limit=20, offset=5)
-    return c.select("id", "url", F.when(F.length("content") > 500, F.concat(F.substring("content", 1, 500), F.lit("..."))).otherwise(F.col("content")).alias("excerpt"))
+    excerpt = F.when(F.length("content") > 500, F.concat(F.substring("content", 1, 500), F.lit("..."))).otherwise(F.col("content")).alias("excerpt")
+    c = content(spark, folder, False).select("id", "url", "last_crawled_at", excerpt).dropDuplicates(["id"])
+    return top(c, F.desc_nulls_last("last_crawled_at"), F.asc("id"), limit=20, offset=5).drop("last_crawled_at")
 
 
 def fuzzy(spark, folder):
-    return fuzzy_search(content(spark, folder), QUERY, limit=10)
+    return fuzzy_search(content(spark, folder, False), QUERY, limit=10)
 
 
 def _sql(where: str, order: str, limit: int, offset: int = 0) -> str:

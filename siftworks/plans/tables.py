@@ -20,13 +20,17 @@ def as_of():
     return at(AS_OF)
 
 
-def content(spark, folder) -> DataFrame:
-    """Pages as indexed content; quality is the length of the text over 3000 characters, 1 at most."""
-    pages = table(spark, folder, "pages").dropDuplicates(["id"])
-    return pages.select(
+def content(spark, folder, once: bool = True) -> DataFrame:
+    """Pages as indexed content; quality is the length of the text over 3000 characters, 1 at most.
+
+    once: repeated rows count once. What reads the text itself leaves that to the end, when only narrow rows are left:
+    repeated rows are equal, so whatever is made of them is, too.
+    """
+    pages = table(spark, folder, "pages").select(
         "id", "url", domain(F.col("url")).alias("domain"), "title", "h1", "content", F.col("og_description").alias("description"), "og_title", "og_image_url", "jsonld",
         url_type(F.col("url")).alias("content_type"), F.when(F.col("content").isNotNull(), F.least(F.lit(1.0), F.length("content") / 3000)).alias("quality_score"), "pagerank_score", "click_score", "tracker_risk_score", "last_crawled_at", "site_id",
     )
+    return pages.dropDuplicates(["id"]) if once else pages
 
 
 def jobs(spark, folder) -> DataFrame:
@@ -36,6 +40,20 @@ def jobs(spark, folder) -> DataFrame:
     return latest(rows, "job_id", *order).withColumn("domain", F.regexp_replace(F.lower("domain"), r"^www\.", ""))
 
 
+def html_rows(spark, folder, features) -> DataFrame:
+    """features(jobs with HTML) of the jobs whose latest state holds HTML: job_id and narrow columns.
+
+    Which state is the latest is found on narrow rows with a hash of the HTML; the HTML itself is only read where it lies.
+    """
+    digest = F.xxhash64("content").alias("digest")
+    order = [F.desc_nulls_last("completed_at"), F.desc_nulls_last("started_at"), F.asc_nulls_last("status"), F.asc_nulls_last("title"), F.asc_nulls_last("word_count")]
+    rows = table(spark, folder, "crawl_jobs").withColumn("status", F.lower(F.trim("status"))).withColumn("domain", F.regexp_replace(F.lower("domain"), r"^www\.", ""))
+    rows = rows.withColumn("digest", F.when(F.col("content").isNotNull(), digest))
+    known = latest(rows.select("job_id", "completed_at", "started_at", "status", "title", "word_count", "digest"), "job_id", *order)
+    found = features(rows.where("digest is not null"))
+    return found.join(known.select("job_id", "digest"), ["job_id", "digest"], "left_semi").drop("digest").distinct()
+
+
 def searches(spark, folder) -> DataFrame:
     return table(spark, folder, "search_events").dropDuplicates(["id"])
 

@@ -14,7 +14,8 @@ def test_sequence_goes_on_over_midnight(spark):
     for s in {r[1] for r in rows} - {None}:
         events = sorted((t, i) for i, x, t in rows if x == s and t is not None)
         for k, (t, i) in enumerate(events):
-            want.add((i, s, k + 1, (t - events[k - 1][0]).total_seconds() if k else None, k == len(events) - 1))
+            after = (events[k + 1][0] - t) // timedelta(milliseconds=1) if k + 1 < len(events) else None
+            want.add((i, s, k + 1, (t - events[k - 1][0]).total_seconds() if k else None, after, k == len(events) - 1))
     got = search_sequence(spark.createDataFrame(rows, "id long, session_id long, created_at timestamp"))
     assert {tuple(r) for r in got.collect()} == want
     assert dict(got.dtypes)["number"] == "int" and got.count() == len(want)
