@@ -67,6 +67,21 @@ def rapid_clicks(clicks: DataFrame, searches: DataFrame, most: int = 10) -> Data
     return per.where(F.col("clicks") > most)
 
 
+def trailing_clicks(clicks: DataFrame, searches: DataFrame, seconds: int = 60) -> DataFrame:
+    """(id, session_id, clicks): the clicks of its session within `seconds` up to every click, itself and equal times included.
+
+    No task holds a session: a click stands in the bucket of its time and, as a past one, in the next; the frame of a
+    click reaches no further. Rows without time or session are left out, repeated ones count once.
+    """
+    micros = seconds * 1_000_000
+    joined = clicks.where(F.col("clicked_at").isNotNull()).dropDuplicates(["id"]).join(searches.select(F.col("id").alias("search_event_id"), "session_id").dropDuplicates(["search_event_id"]), "search_event_id")
+    t = F.unix_micros("clicked_at")
+    rows = joined.where(F.col("session_id").isNotNull()).select("id", "session_id", t.alias("t"), F.floor(t / micros).alias("own"))
+    both = rows.withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
+    frame = Window.partitionBy("session_id", "bucket").orderBy("t").rangeBetween(-micros, Window.currentRow)
+    return both.withColumn("clicks", F.count(F.lit(1)).over(frame)).where("bucket = own").select("id", "session_id", "clicks")
+
+
 def search_sequence(searches: DataFrame, session: str = "session_id", bucket_seconds: int = 86_400) -> DataFrame:
     """(id, number in its session, seconds since the one before, ms to the next, whether it is the last of the session).
 

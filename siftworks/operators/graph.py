@@ -62,6 +62,23 @@ def robots_rules(text: DataFrame) -> DataFrame:
     return kept.where("rule <> ''").distinct()
 
 
+def robots_extras(text: DataFrame) -> DataFrame:
+    """(domain, crawl_delay, sitemaps): the last delay that holds for every agent, and the sitemaps in order."""
+    lines = text.select("domain", F.posexplode(F.split("robots", "\n")).alias("n", "line"))
+    field = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1))))
+    value = F.trim(F.regexp_replace(F.regexp_extract("line", r"^[^:]*:([^#]*)", 1), r"\r", ""))
+    rows = lines.select("domain", "n", field.alias("field"), value.alias("value"))
+    pick = lambda name: F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("n", "value"))))
+    per = rows.groupBy("domain").agg(pick("user-agent").alias("agents"), pick("crawl-delay").alias("delays"), pick("sitemap").alias("maps"))
+
+    def holds(x):
+        before = F.filter("agents", lambda a: a["n"] < x["n"])
+        return F.when(F.size(before) > 0, F.element_at(before, -1)["value"]).otherwise(F.lit("*")) == "*"
+
+    delay = F.try_element_at(F.filter("delays", holds), F.lit(-1))["value"].try_cast("double")
+    return per.select("domain", delay.alias("crawl_delay"), F.transform("maps", lambda m: m["value"]).alias("sitemaps"))
+
+
 def robots_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(domain, path, allowed): the longest rule that begins the path decides, Allow among equals; none allows.
 

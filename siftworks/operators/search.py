@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import matches, search_rank
+from ..functions.ranking import domain_quality, matches, search_rank
 from ..runtime import ship
 
 
@@ -78,15 +78,21 @@ def suggest(queries: DataFrame, titles: DataFrame, prefix: str, limit: int = 10)
 
 
 def image_search(images: DataFrame, query: str) -> DataFrame:
-    """Images whose alternative text holds all words of the query, one with - holds it off; score is their count."""
+    """Images whose alternative text holds all words of the query, one with - holds it off, OR parts alternatives.
+
+    score is the number of occurrences of the wanted words of all alternatives that hold.
+    """
     text = F.lower(F.coalesce("alt_text", F.lit("")))
-    score, keep = F.lit(0), F.lit(True)
-    for word in query.lower().split():
-        if word.startswith("-") and len(word) > 1:
-            keep = keep & ~F.contains(text, F.lit(word[1:]))
-        else:
-            keep = keep & F.contains(text, F.lit(word))
-            score = score + ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    score, keep = F.lit(0), F.lit(False)
+    for part in " ".join(query.split()).split(" OR "):
+        holds, found = F.lit(True), F.lit(0)
+        for word in part.lower().split():
+            if word.startswith("-") and len(word) > 1:
+                holds = holds & ~F.contains(text, F.lit(word[1:]))
+            else:
+                holds = holds & F.contains(text, F.lit(word))
+                found = found + ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+        keep, score = keep | holds, score + F.when(holds, found).otherwise(0)
     return images.where(keep).withColumn("score", score)
 
 
@@ -141,3 +147,26 @@ def fuzzy_search(content: DataFrame, query: str, limit: int = 10, offset: int =
     share = lambda c: F.when(F.max(c).over(whole) > 0, F.col(c) / F.max(c).over(whole)).otherwise(F.lit(0.0))
     final = share("base") * 0.4 + share("fuzzy") * 0.5 - F.col("ambiguity") * ambiguity_control * 0.1
     return top(scored.withColumn("final", final), F.desc("final"), F.asc("id"), limit=limit, offset=offset)
+
+
+def explain_relevance(pages: DataFrame, query: str) -> DataFrame:
+    """(id, title_match, content_match, url_match, domain_relevance) of pages (id, title, content, url) for the query.
+
+    Of the content the first 500 characters are compared, as a snippet. Repeated rows count once.
+    """
+    ship(pages.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame(
+                {
+                    "id": batch["id"],
+                    "url": batch["url"],
+                    "title_match": [fuzzy_match(query, x) for x in batch["title"]],
+                    "content_match": [fuzzy_match(query, x, 0.3) for x in batch["content"].fillna("").str[:500]],
+                    "url_match": [fuzzy_match(query, x) for x in batch["url"]],
+                }
+            )
+
+    found = pages.select("id", "url", "title", "content").mapInPandas(run, "id long, url string, title_match double, content_match double, url_match double")
+    return found.withColumn("domain_relevance", domain_quality(F.col("url"))).drop("url").dropDuplicates(["id"])

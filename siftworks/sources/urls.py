@@ -36,3 +36,10 @@ def cleaned(rows: DataFrame, domain: str | None = None) -> DataFrame:
     if domain:
         out = out.where((F.col("domain") == domain) | F.endswith("domain", F.lit("." + domain)))
     return out.distinct()
+
+
+def merged(seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """(url, place): the seeds in their order, then the urls found in theirs, each url once. Both: url, place."""
+    both = seeds.select("url", F.lit(0).alias("source"), "place").unionByName(found.select("url", F.lit(1).alias("source"), "place"))
+    once = both.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(F.struct("source", "place")).alias("first"))
+    return once.select("url", "first.source", "first.place")
