@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,12 @@ def shape(sentence: str, words: list[str], closed: bool) -> int:
     return (((size * 4 + capitals) * 4 + separators) * 2 + bool(LINK.search(sentence))) * 2 + closed
 
 
+@lru_cache(maxsize=10_000)
+def _name_in(name: str) -> re.Pattern:
+    """A site's name with whatever stands between its letters but other letters and digits."""
+    return re.compile(r"[\W_]*".join(map(re.escape, name)))
+
+
 def _label(text: str) -> int:
     """Key of a short line without its last name, the last word with a capital behind the first; 0 without one."""
     words = text.split()
@@ -125,15 +132,16 @@ def _sentences(lines: list[str]) -> tuple[list[list[int]], list[list[int]], list
     A closed string made up of the page's repeated pairs of words is no sentence; a pair is repeated if it occurs six
     times and makes up a fortieth of the page. Without such pairs only the open end of a line is looked at.
     """
-    low = WORD.findall("\n".join(lines).lower())
+    own = [WORD.findall(line.lower()) for line in lines]
+    low = [w for words in own for w in words]
     least = max(6, 0.025 * len(low))
     often = {p for p, n in Counter(zip(low, low[1:])).items() if n >= least}
     shapes, counts, said = [], [], []
-    for line in lines:
+    for line, in_line in zip(lines, own):
         s, c, good = [], [], 0
         closed = bool(CLOSED.search(line[-8:]))
         if closed and not often:
-            good = len(WORD.findall(line))
+            good = len(in_line)
         else:
             parts = [p for p in SENTENCE_END.split(line) if p]
             for k, part in enumerate(parts):
@@ -169,14 +177,16 @@ def _token_rows(batches):
             forms += [SUFFIX.sub("", x) for x in forms]
             forms = [x for x in (x.rstrip("…. ") for x in forms) if len(x) > 5]
             name = "".join(WORD.findall((host or "").split(".")[0].lower()))
+            known, long = set(forms), tuple(x for x in forms if len(x) > 15)
+            named_here = _name_in(name) if len(name) > 5 else None
             tokens, stems, use, lengths, leads = [], [], [], [], []
             for _, text, first, linked in lines:
                 form = line_form(first)
                 size = len(text)
-                head = size < HEADLINE_SIZE and any(form == x or (len(x) > 15 and form.startswith(x)) for x in forms)
+                head = size < HEADLINE_SIZE and (form in known or form.startswith(long))
                 own = dated = trail = False
-                if size < NOTICE_SIZE:
-                    own = len(name) > 5 and name in "".join(WORD.findall(text.lower()))
+                if named_here and size < NOTICE_SIZE:
+                    own = bool(named_here.search(text.lower()))
                 prose = size > SHORT_PROSE and bool(MANY_SENTENCES.search(text))
                 stem = 0
                 if size < LABEL_SIZE and not prose:
