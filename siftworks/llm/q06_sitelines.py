@@ -41,4 +41,14 @@ def p6_cleaned(spark, folder):
 
 
 QUERIES = {"p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned}
-SQL = {"p6_found": LINES + "SELECT k.id AS page_id, CAST(line_no AS INT) AS line_no FROM k JOIN o USING (site_id, key)"}
+SEEN = LINES + """, s AS (SELECT k.site_id, k.key, count(DISTINCT p.content) AS clusters, count(DISTINCT CAST(p.day AS DATE)) AS dates, count(DISTINCT CASE WHEN p.day IS NOT NULL THEN p.content END) AS dated
+  FROM k JOIN (SELECT DISTINCT id, content, last_crawled_at AS day FROM pages) p ON p.id = k.id JOIN o ON o.site_id = k.site_id AND o.key = k.key GROUP BY ALL)
+"""
+SQL = {
+    "p6_lines": SEEN + "SELECT site_id AS site, count(*) AS lines, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(clusters) AS BIGINT) AS clusters, CAST(sum(dates) AS BIGINT) AS dates FROM o JOIN s USING (site_id, key) GROUP BY site_id",
+    "p6_cleaned": SEEN + """, b AS (SELECT site_id, key FROM s WHERE clusters >= 5 AND (dates >= 2 OR dated < 2)), a AS (SELECT DISTINCT id, site_id, content FROM pages),
+u AS (SELECT id, site_id, line_no, line FROM (SELECT id, site_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM a WHERE content IS NOT NULL)),
+v AS (SELECT u.id, string_agg(u.line, chr(10) ORDER BY u.line_no) FILTER (b.key IS NULL) AS content FROM u LEFT JOIN k ON k.id = u.id AND k.line_no = u.line_no LEFT JOIN b ON b.site_id = k.site_id AND b.key = k.key GROUP BY u.id)
+SELECT a.id AS page_id, CASE WHEN a.content IS NOT NULL THEN coalesce(v.content, '') END AS content FROM a LEFT JOIN v USING (id)""",
+    "p6_found": LINES + "SELECT k.id AS page_id, CAST(line_no AS INT) AS line_no FROM k JOIN o USING (site_id, key)",
+}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .leaks import PASSAGE, leaked
+from .textform import skeleton_sql
 
 
 def _leaked(spark, folder, edited=False):
@@ -26,4 +27,10 @@ def p9_items(spark, folder):
 
 
 QUERIES = {"p9_found": p9_found, "p9_alignments": p9_alignments, "p9_items": p9_items}
-SQL = {}
+_words = lambda text: f"regexp_extract_all(lower({skeleton_sql(text)}), '[\\p{{L}}\\p{{N}}]+')"
+_passages = f"unnest(list_transform(range(1, len(w) - {PASSAGE - 2}), lambda i: array_to_string(w[i:i + {PASSAGE - 1}], ' ')))"
+LEAKED = f"""WITH d AS (SELECT DISTINCT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL), q AS (SELECT DISTINCT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, {_passages} AS passage FROM d WHERE len(w) >= {PASSAGE}), y AS (SELECT DISTINCT item_id, {_passages} AS passage FROM q WHERE len(w) >= {PASSAGE}),
+leaked AS (SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (passage))
+"""
+SQL = {"p9_found": LEAKED + "SELECT * FROM leaked", "p9_items": LEAKED + "SELECT item_id, count(*) AS documents FROM leaked GROUP BY item_id"}

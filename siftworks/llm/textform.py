@@ -65,6 +65,27 @@ def _mapped(found: re.Match) -> str:
     return _short(run) if len(run) < 4 else _replaced(run)
 
 
+def skeleton_sql(text: str) -> str:
+    """The skeleton, accents composed, as an SQL expression for reference queries."""
+    table = {chr(cp): to for cp, to in prototypes().items() if cp != 10 and chr(cp) != to}
+    singles = {ch: to for ch, to in table.items() if to and len(to) == 1}
+    several = {ch: to for ch, to in table.items() if to and len(to) > 1}
+    # letters composed of a look-alike and accents
+    composed = {chr(cp): unicodedata.normalize("NFD", chr(cp)) for cp in range(0xA0, 0x20000) if chr(cp) not in table}
+    several |= {ch: "".join(table.get(x, x) or "" for x in parts) for ch, parts in composed.items() if len(parts) > 1 and any(x in table for x in parts)}
+    gone = [ch for ch, to in table.items() if not to]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    plain = lambda chars: quoted("".join(c for c in chars if ord(c) > 31 and ord(c) != 127))
+    special = [c for c in gone if 0 < ord(c) < 32 or ord(c) == 127]
+    out = f"translate({text}, {plain([*singles, *gone])}, {plain(singles.values())})"
+    for ch in special:
+        out = f"replace({out}, chr({ord(ch)}), '')"
+    out = f"replace({out}, chr(9), ' ')"
+    for ch, to in several.items():
+        out = f"replace({out}, {quoted(ch)}, {quoted(to)})"
+    return f"nfc_normalize({out})"
+
+
 def skeleton(text: str) -> str:
     """Decompose, replace every character by its prototype, decompose again.
 
