@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import domain, normalize_url
 from ..runtime import spread
 
 LINK = "struct<url: string, text: string, title: string, rel: string, internal: boolean>"
@@ -189,3 +190,22 @@ def favicon(pages: DataFrame) -> DataFrame:
     root = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1)
     first = F.try_element_at("icons", F.lit(1))
     return pages.select("key", F.coalesce(first["url"], F.concat(root, F.lit("/favicon.ico"))).alias("icon"), F.coalesce(first["format"], F.lit("ico")).alias("format"))
+
+
+def crawl_record(pages: DataFrame) -> DataFrame:
+    """(key, h1, text, images, links) as the crawler keeps them: all h1 joined or else the title, alternative texts of 255
+    characters, links in normal form with whether they stay on the page's host."""
+    host = domain(F.col("url"))
+    return pages.select(
+        "key",
+        F.coalesce(F.nullif(F.array_join("h1", " "), F.lit("")), F.col("title")).alias("h1"),
+        "text",
+        F.transform("images", lambda i: F.struct(i["src"].alias("src"), F.substring(i["alt"], 1, 255).alias("alt"))).alias("images"),
+        F.transform("links", lambda x: F.struct(normalize_url(x["url"]).alias("url"), (domain(x["url"]) == host).alias("same_domain"))).alias("links"),
+    )
+
+
+def own_links(pages: DataFrame) -> DataFrame:
+    """(key, url): the links of a page to its own host, without fragment, each once."""
+    own = links(pages).where("internal").select("key", F.regexp_replace("url", "#.*$", "").alias("url"))
+    return own.distinct()

@@ -67,10 +67,12 @@ def reciprocal_links(links: DataFrame) -> DataFrame:
 def spam_report(facts: DataFrame) -> DataFrame:
     """Signals, score and risk per domain.
 
-    facts: domain, avg_links, max_density, share_external, mixed, ratio, reciprocal_ratio. Score: mean over the signals
+    facts: domain, avg_links, max_density, share_external, mixed, ratio, and reciprocal_ratio where known. Score: mean over the signals
     of confidence times weight, in percent. flags are the names of the signals, recommendations what they and the score
     advise.
     """
+    if "reciprocal_ratio" not in facts.columns:
+        facts = facts.withColumn("reciprocal_ratio", F.lit(None).cast("double"))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     tenths = yes(F.col("avg_links") > 200) * 4 + yes(F.col("max_density") > 0.4) * 3 + yes(F.col("share_external") > 0.5) * 3
 

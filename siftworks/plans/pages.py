@@ -51,7 +51,9 @@ def jaccard_match(spark, folder):
 
 def hashed_ids(spark, folder):
     s = searches(spark, folder).where("session_id is not null").select("session_id").distinct()
-    return s.select("session_id", T.short_hash("ip_", c("session_id").cast("string")).alias("ip_hash"), T.short_hash("search:", c("session_id").cast("string")).alias("cache_key"))
+    name = c("session_id").cast("string")
+    both = F.sha2(F.concat_ws("_", T.short_hash("ip_", name), T.short_hash("ua_", name)), 256)
+    return s.select("session_id", T.short_hash("ip_", name).alias("ip_hash"), T.short_hash("ua_", name).alias("ua_hash"), both.alias("session_hash"), T.short_hash("search:", c("session_id").cast("string")).alias("cache_key"))
 
 
 def _html(spark, folder):
@@ -181,7 +183,7 @@ SELECT id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || ':/
     "url_titles": f"WITH {CONTENT} SELECT id, substring(coalesce(nullif(og_title, ''), nullif(title, ''), nullif(h1, ''), {_from_path}), 1, 200) AS title, {_from_path} AS from_path FROM content",
     "jaccard_match": f"""WITH {SEARCHES}, w AS (SELECT id, list_distinct(string_split({_norm_query}, ' ')) AS a, ['how', 'to', 'a', 'compact', 'museum'] AS b FROM searches WHERE query IS NOT NULL)
 SELECT id, round(CAST(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS overlap FROM w""",
-    "hashed_ids": f"WITH {SEARCHES} SELECT DISTINCT session_id, substring(sha256('ip_' || session_id), 1, 16) AS ip_hash, substring(sha256('search:' || session_id), 1, 16) AS cache_key FROM searches WHERE session_id IS NOT NULL",
+    "hashed_ids": f"WITH {SEARCHES} SELECT DISTINCT session_id, substring(sha256('ip_' || session_id), 1, 16) AS ip_hash, substring(sha256('ua_' || session_id), 1, 16) AS ua_hash, sha256(substring(sha256('ip_' || session_id), 1, 16) || '_' || substring(sha256('ua_' || session_id), 1, 16)) AS session_hash, substring(sha256('search:' || session_id), 1, 16) AS cache_key FROM searches WHERE session_id IS NOT NULL",
     "html_titles": f"{_html_sql} SELECT job_id, nullif(regexp_extract(content, {quoted(TITLE)}, 1), '') AS title, nullif(regexp_extract(content, {quoted(HEAD1)}, 1), '') AS h1, CAST(len(regexp_extract_all(content, {quoted(HREF)}, 1)) AS INT) AS links FROM h",
     "domain_links": f"""{_html_sql}, l AS (SELECT job_id, domain, unnest(list_sort(list_distinct(regexp_extract_all(content, {quoted(HREF)}, 1)))[1:20]) AS href FROM h) SELECT job_id, href FROM l WHERE starts_with(href, '/') OR contains(href, domain)""",
     "dup_ratio": f"""WITH {CONTENT}, k AS (SELECT domain, CASE WHEN coalesce(content, '') <> '' THEN {_clean} END AS k, count(*) AS n FROM content GROUP BY ALL)
